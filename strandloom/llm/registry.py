@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_counts, token_planes
 
-MODULES = (exact_dedup, simhash)
+MODULES = (token_counts, exact_dedup, simhash, token_planes, bpe)
 
 
 def queries() -> dict:
