@@ -22,6 +22,7 @@ before it: a sum of files' totals in two steps, by groups of files and within th
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Kept, vocabulary_path
+from .bpe import Kept, byte_alphabet, vocabulary_path
 from .common import Scratch, as_bytes, map_batches, text_rows
 
 MAGIC = b"SLPLANE1"
@@ -120,23 +121,55 @@ def read_file(file: bytes):
         yield (int(doc["doc_id"]) if doc["has_id"] else None), int(doc["start"]), np.concatenate(parts)
 
 
-@lru_cache(2)
-def _word_encoder(path: str) -> Kept:
-    """Ids of a chunk between white space by the tokenizers library.
+#: A word in letters that this tokenizer's normalisation leaves alone but for case, and marks behind it.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?@\[-`{}~]*)")
+
+
+class WordEncoder:
+    """Ids of a text by the tokenizers library, chunk by chunk between white space.
 
-    This tokenizer drops white space and lower-cases letter by letter, nothing it does reaches over ASCII white
-    space, so the ids of a text are those of its chunks.  Chunks repeat, and each is encoded once while it is kept.
+    This tokenizer drops white space, and nothing it does reaches over ASCII white space, so the ids of a text are
+    those of its chunks.  Chunks repeat, and each is encoded once while it is kept.  A chunk that is a word of plain
+    letters with marks behind it is cut there by the tokenizer too; its word, in small letters, goes straight to the
+    library's model, which needs neither normalisation nor pattern.  All other chunks go through the library whole.
     """
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    return Kept(lambda chunk: np.array(t.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes(), 500_000)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.chunks, self.words, self.rest = Kept(self._chunk, 400_000), Kept(self._word, 200_000), Kept(self._whole, 20_000)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        plain = PLAIN.fullmatch(chunk)
+        if not plain:
+            return self._whole(chunk)
+        word, marks = plain.groups()
+        ids = self.words[word.lower() if word.isascii() else word.decode().lower().encode()]
+        return ids + self.rest[marks] if marks else ids
+
+    def _word(self, word: bytes) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))])
 
+    def _whole(self, chunk: bytes) -> bytes:
+        return _packed(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
 
-def encode_text(text: bytes, path: str) -> bytes:
-    return b"".join(map(_word_encoder(path).__getitem__, text.split()))
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker and file."""
+    return WordEncoder(path)
 
 
 def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, planes: int = 4, block: int = BLOCK_IDS, file_ids: int = FILE_IDS, end_id: int = END_ID) -> None:
@@ -153,10 +186,11 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, plane
         def closed():
             return pa.RecordBatch.from_arrays([pa.array([(part << 20) + seq], pa.int64()), pa.array([writer.n], pa.int64()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.close()], pa.binary())], ["file_no", "n_ids", "n_docs", "bytes"])
 
+        encode = word_encoder(tokenizer).encode
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 writer = writer or FileWriter(planes, block)
-                writer.add(doc_id, encode_text(text, tokenizer) + end)
+                writer.add(doc_id, encode(text) + end)
                 if writer.n >= file_ids:
                     yield closed()
                     seq, writer = seq + 1, None

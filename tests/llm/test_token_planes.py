@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +46,20 @@ def test_rows_against_the_library(spark, options):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_same_ids_as_the_library():
+    library = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    mine = op.word_encoder(vocabulary_path("word_bpe_49k.json"))
+    r = random.Random(7)
+    some = [*"abEÉÈéßÿ×÷ÀÞþµªº\u0301\u0331HhK.,!?'\"()[]{}<>|*&%$#@^_`~+=-/\\:;09 ", "<|endoftext|>", "'s", "'LL", "ſ", "İ", "Ω", "ﬁ"]
+    for k in range(20_000):
+        text = "".join(r.choice(some) for _ in range(1 + k % 12))
+        ids = np.frombuffer(mine.encode(text.encode()), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for c in [*range(1, 0xD800), *range(0xE000, 0x3000)]:
+        text = f"a{chr(c)} {chr(c)}b {chr(c)}."
+        assert np.frombuffer(mine.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 def test_ids_come_back(spark, tmp_path):
     path = f"file://{tmp_path}/files"
     op.write_planes(docs(spark, HARD), path, file_ids=1000)
