@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, secret_scan, simhash, token_counts, token_planes, toxicity
+from . import bpe, decontaminate, exact_dedup, license_scan, secret_scan, simhash, substring_dedup, token_counts, token_planes, toxicity
 
-MODULES = (token_counts, exact_dedup, toxicity, simhash, token_planes, decontaminate, bpe, secret_scan)
+MODULES = (token_counts, exact_dedup, substring_dedup, toxicity, simhash, token_planes, decontaminate, license_scan, bpe, secret_scan)
 
 
 def queries() -> dict:
