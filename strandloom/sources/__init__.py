@@ -1,0 +1 @@
+"""Readers that turn text and bytes into streams."""
