@@ -255,6 +255,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
 
 QUERY = "op3_substring_dedup"
 
+ORACLE = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k, true AS gone FROM g JOIN f USING (h) WHERE first < doc_id),
+each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM t),
+n AS (SELECT r, count(*) AS n_words, count(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (gone IS NULL), '') AS kept FROM each LEFT JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN n USING (r)
+"""
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
