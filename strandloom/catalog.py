@@ -21,10 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, **types: str):
+    """Registers a query; `types` are casts of the SQL's columns to the query's types."""
+
     def add(f):
         QUERIES[name] = f
-        if sql:
+        if sql and types:
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'{c}::{t} AS {c}' for c, t in types.items())}) FROM ({sql})"
+        elif sql:
             ORACLES[name] = sql
         return f
 
@@ -123,7 +127,7 @@ def _(spark, d):
     return numeric.DivideBy().encode(_sixes(spark, d))["v"]
 
 
-@query("divide_by_given", f"WITH {SIXES} SELECT chunk_id, pos, v // 3 AS v FROM s")
+@query("divide_by_given", f"WITH {SIXES} SELECT chunk_id, pos, v // 3 AS v FROM s", v="BIGINT")
 def _(spark, d):
     return numeric.DivideBy(3).encode(_sixes(spark, d))["v"]
 
@@ -181,14 +185,14 @@ def _(spark, d):
 LOG2 = "(length(bin(v)) - 1)"
 
 
-@query("quantize_offsets", f"WITH {ORDERS}, p AS (SELECT chunk_id, pos, v + 1 AS v FROM s) SELECT chunk_id, pos, {LOG2} AS code, v - (1::BIGINT << {LOG2}) AS extra, {LOG2} AS bits FROM p")
+@query("quantize_offsets", f"WITH {ORDERS}, p AS (SELECT chunk_id, pos, v + 1 AS v FROM s) SELECT chunk_id, pos, {LOG2} AS code, v - (1::BIGINT << {LOG2}) AS extra, {LOG2} AS bits FROM p", bits="INTEGER")
 def _(spark, d):
     e = numeric.Quantize("offsets").encode(orders(spark, d, value=F.col("o_custkey") + 1))
     return e["codes"].withColumnRenamed("v", "code").join(e["extra"].withColumnRenamed("v", "extra"), ["chunk_id", "pos"])
 
 
 @query("quantize_lengths", f"""WITH {ORDERS} SELECT chunk_id, pos, CASE WHEN v < 16 THEN v ELSE {LOG2} + 12 END AS code, CASE WHEN v < 16 THEN 0 ELSE v - (1::BIGINT << {LOG2}) END AS extra,
-CASE WHEN v < 16 THEN 0 ELSE {LOG2} END AS bits FROM s""")
+CASE WHEN v < 16 THEN 0 ELSE {LOG2} END AS bits FROM s""", bits="INTEGER")
 def _(spark, d):
     e = numeric.Quantize("lengths").encode(orders(spark, d))
     return e["codes"].withColumnRenamed("v", "code").join(e["extra"].withColumnRenamed("v", "extra"), ["chunk_id", "pos"])
@@ -200,7 +204,7 @@ def _(spark, d):
     return c.decode(c.encode(orders(spark, d)))
 
 
-@query("bitpack_size", f"WITH {ORDERS} SELECT chunk_id, length(bin(max(v))) AS bits, (count(*) * length(bin(max(v))) + 7) // 8 AS bytes FROM s GROUP BY chunk_id")
+@query("bitpack_size", f"WITH {ORDERS} SELECT chunk_id, length(bin(max(v))) AS bits, (count(*) * length(bin(max(v))) + 7) // 8 AS bytes FROM s GROUP BY chunk_id", bits="INTEGER")
 def _(spark, d):
     return numeric.BitPack.size(orders(spark, d))
 
@@ -452,17 +456,17 @@ def _names(spark, d):
     return stream(table(spark, d, "customer"), "c_name", "c_custkey"), stream(table(spark, d, "supplier"), "s_name", "s_suppkey")
 
 
-@query("concat_streams", CONCAT)
+@query("concat_streams", CONCAT, chunk_id="BIGINT")
 def _(spark, d):
     return structure.Concat().encode(*_names(spark, d))["v"]
 
 
-@query("concat_sizes", "SELECT 0 AS chunk_id, 0 AS pos, count(*) AS v FROM customer UNION ALL SELECT 0, 1, count(*) FROM supplier")
+@query("concat_sizes", "SELECT 0 AS chunk_id, 0 AS pos, count(*) AS v FROM customer UNION ALL SELECT 0, 1, count(*) FROM supplier", chunk_id="BIGINT", pos="BIGINT")
 def _(spark, d):
     return structure.Concat().encode(*_names(spark, d))["sizes"]
 
 
-@query("interleave_streams", "SELECT 0 AS chunk_id, (row_number() OVER (ORDER BY n_nationkey) - 1) * 2 + j AS pos, CASE WHEN j = 0 THEN n_name ELSE lower(n_name) END AS v FROM nation, (SELECT unnest([0, 1]) AS j) QUALIFY true".replace("row_number() OVER (ORDER BY n_nationkey)", "row_number() OVER (PARTITION BY j ORDER BY n_nationkey)"))
+@query("interleave_streams", "SELECT 0 AS chunk_id, (row_number() OVER (ORDER BY n_nationkey) - 1) * 2 + j AS pos, CASE WHEN j = 0 THEN n_name ELSE lower(n_name) END AS v FROM nation, (SELECT unnest([0, 1]) AS j) QUALIFY true".replace("row_number() OVER (ORDER BY n_nationkey)", "row_number() OVER (PARTITION BY j ORDER BY n_nationkey)"), chunk_id="BIGINT")
 def _(spark, d):
     s = stream(table(spark, d, "nation"), "n_name", "n_nationkey")
     return structure.Interleave().encode(s, s.withColumn("v", F.lower("v")))["v"]
@@ -526,7 +530,7 @@ def _(spark, d):
     return _rounded(st.feature_vector(_quantities(spark, d)), *MOMENT_NAMES)
 
 
-@query("numeric_summary", f"WITH {ORDERS} SELECT chunk_id, sum(v) AS total, max(v) AS top, max(v) < 1000 AS under_limit, {WIDTH.format('max(v)')} AS smallest_width FROM s GROUP BY chunk_id")
+@query("numeric_summary", f"WITH {ORDERS} SELECT chunk_id, sum(v) AS total, max(v) AS top, max(v) < 1000 AS under_limit, {WIDTH.format('max(v)')} AS smallest_width FROM s GROUP BY chunk_id", total="BIGINT")
 def _(spark, d):
     return st.numeric_summary(orders(spark, d), 1000)
 
@@ -544,7 +548,7 @@ p AS (SELECT a.chunk_id, a.gap AS stride FROM g a LEFT JOIN g b ON a.chunk_id =
 x AS (SELECT p.chunk_id, stride, sum(n) AS share FROM p JOIN g ON p.chunk_id = g.chunk_id AND gap % stride = 0 GROUP BY p.chunk_id, stride QUALIFY row_number() OVER (PARTITION BY p.chunk_id ORDER BY share DESC, stride) = 1),
 m AS (SELECT chunk_id, sum(n) AS matches FROM g GROUP BY chunk_id)
 SELECT c.chunk_id, stride, share, CASE WHEN share IS NOT NULL THEN matches END AS matches, CASE WHEN share IS NULL THEN 'none' WHEN share > matches / 16 THEN 'likely' ELSE 'possible' END AS verdict
-FROM (SELECT DISTINCT chunk_id FROM s) c LEFT JOIN x USING (chunk_id) LEFT JOIN m USING (chunk_id)""")
+FROM (SELECT DISTINCT chunk_id FROM s) c LEFT JOIN x USING (chunk_id) LEFT JOIN m USING (chunk_id)""", share="BIGINT", matches="BIGINT")
 def _(spark, d):
     return st.strides(orders(spark, d, value=F.col("o_orderkey") % 12 * 1000))
 
@@ -647,7 +651,7 @@ def _(spark, d):
 
 
 @query("cluster_concat", """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS p, o_custkey AS a, o_orderkey AS b FROM orders)
-SELECT 0 AS chunk_id, row_number() OVER (ORDER BY k, p) - 1 AS pos, v FROM (SELECT 0 AS k, p, a AS v FROM o UNION ALL SELECT 1, p, b FROM o)""")
+SELECT 0 AS chunk_id, row_number() OVER (ORDER BY k, p) - 1 AS pos, v FROM (SELECT 0 AS k, p, a AS v FROM o UNION ALL SELECT 1, p, b FROM o)""", chunk_id="BIGINT")
 def _(spark, d):
     o = table(spark, d, "orders")
     streams = {k: stream(o, c, "o_orderkey") for k, c in enumerate(("o_custkey", "o_orderkey"))}
@@ -679,13 +683,13 @@ def _csv(spark, d):
     return structure.joined_bytes(n.withColumn("v", F.concat("v", F.lit("\n"))), n.select("chunk_id").distinct())
 
 
-@query("csv_columns", """SELECT 0 AS chunk_id, n_nationkey AS row, 0 AS col, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT 0, n_nationkey, 1, '"' || n_name || ',"' FROM nation UNION ALL SELECT 0, n_nationkey, 2, n_regionkey::VARCHAR FROM nation""")
+@query("csv_columns", """SELECT 0 AS chunk_id, n_nationkey AS row, 0 AS col, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT 0, n_nationkey, 1, '"' || n_name || ',"' FROM nation UNION ALL SELECT 0, n_nationkey, 2, n_regionkey::VARCHAR FROM nation""", chunk_id="BIGINT", row="BIGINT")
 def _(spark, d):
     t = csv_text.CsvText().encode(_csv(spark, d))["tokens"]
     return t.where("kind = 'field'").select("chunk_id", "row", "col", F.col("v").cast("string").alias("v"))
 
 
-@query("csv_round_trip", """SELECT 0 AS chunk_id, string_agg(n_nationkey || ',"' || n_name || ',",' || n_regionkey || chr(10), '' ORDER BY n_nationkey) AS v FROM nation""")
+@query("csv_round_trip", """SELECT 0 AS chunk_id, string_agg(n_nationkey || ',"' || n_name || ',",' || n_regionkey || chr(10), '' ORDER BY n_nationkey) AS v FROM nation""", chunk_id="BIGINT")
 def _(spark, d):
     c = csv_text.CsvText()
     return c.decode(c.encode(_csv(spark, d))).select("chunk_id", F.col("v").cast("string").alias("v"))
@@ -752,7 +756,7 @@ def _(spark, d):
     return far.withColumn("distance", F.when(F.col("distance") == float("inf"), -1.0).otherwise(F.round("distance", 9)))
 
 
-@query("sample_limit", "SELECT n_nationkey, size FROM (SELECT n_nationkey, length(n_name) AS size, sum(length(n_name)) OVER (ORDER BY n_nationkey) AS total FROM nation) WHERE total <= 100")
+@query("sample_limit", "SELECT n_nationkey, size FROM (SELECT n_nationkey, length(n_name) AS size, sum(length(n_name)) OVER (ORDER BY n_nationkey) AS total FROM nation) WHERE total <= 100", size="INTEGER")
 def _(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.length("n_name").alias("size"))
     return search.limited_sample(n, "size", ["n_nationkey"], 100)
