@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_rows
 
-#: Chunks kept by a worker.
-KEPT = 250_000
+#: Chunks, and pieces, kept by a worker.
+KEPT = 300_000
+#: Letters with ASCII marks behind them, none of which begins a contraction or a special token.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: The pieces of byte-level BPE (fixed values of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -75,7 +79,8 @@ class Vocabulary:
             t = self.tokens[i]
             self.shorter[i] = next((at[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in at), -1)
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.length = np.array([len(t) for t in self.tokens], np.int64)
+        self.sizes = [len(t) for t in self.tokens]
+        self.length = np.array(self.sizes, np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)))[:-1]
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -106,27 +111,31 @@ class Vocabulary:
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n, length = len(piece), self.length
+        n, size, fits = len(piece), self.sizes, self.fits
         longest = [0] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - len(self.tokens[token])] = token
-        out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
-        while at < n:
-            to = at + int(length[token])
-            if not dead[to] and (not out or self.compatible(out[-1], token)):
+            longest[end + 1 - size[token]] = token
+        token = longest[0]
+        if size[token] == n:  # a token's bytes merge to it
+            return [token]
+        out, at, last = [token], size[token], token
+        dead = None
+        token = longest[at]
+        while True:
+            to = at + size[token]
+            if (dead is None or not dead[to]) and (not out or (fits[last, token] if (last, token) in fits else self.compatible(last, token))):
                 out.append(token)
-                at = to
-                if at < n:
-                    token = longest[at]
+                if to == n:
+                    return out
+                at, last, token = to, token, longest[to]
             elif (less := self.shorter[token]) >= 0:
                 token = less
             else:
+                dead = dead or bytearray(n + 1)
                 dead[at] = 1
                 token = out.pop()
-                at -= int(length[token])
-        return out
+                at -= size[token]
+                last = out[-1] if out else -1
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, gathered through the offset table."""
@@ -163,7 +172,8 @@ class Encoder:
         self.first, self.later, self.whole = Kept(self._encode), Kept(self._later), Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.vocabulary.encode_piece(piece.encode()), "<u4").tobytes()
+        ids = self.vocabulary.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, text: str) -> bytes:
         parts = self.special.split(text) if self.special else [text]
@@ -174,6 +184,9 @@ class Encoder:
 
     def _later(self, chunk: str) -> bytes | None:
         """Of a chunk that follows a space; None if the space has white space beside it."""
+        if plain := PLAIN.fullmatch(chunk):  # two pieces by the pattern
+            word, marks = plain.groups()
+            return self.whole[" " + word] + self.whole[marks] if marks else self.whole[" " + word]
         return None if self.edge.search(chunk) else self._encode(" " + chunk)
 
     def encode(self, text: str) -> bytes:
