@@ -10,9 +10,10 @@ a first value) is the header, a DataFrame with one row for each chunk.  Encoders
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,6 +113,43 @@ def per_chunk(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) ->
     return df.groupBy("chunk_id").applyInArrow(run, schema)
 
 
+def in_batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows gathered into batches, so that many small chunks don't make many small batches."""
+    held: list[tuple] = []
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield made()
+            held.clear()
+    if held:
+        yield made()
+
+
+def in_arrays(pieces: Iterable[tuple[int, np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Chunks' numbers (chunk_id, values) gathered into batches chunk_id, pos, v."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def made():
+        n = [len(x) for _, x in held]
+        places = np.concatenate([np.arange(k) for k in n])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([c for c, _ in held], n).astype(np.int64)), pa.array(places), pa.array(np.concatenate([x for _, x in held]).astype(np.int64))], ["chunk_id", "pos", "v"])
+
+    size = 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[1])
+        if size >= most or len(held) >= 4096:
+            yield made()
+            held.clear()
+            size = 0
+    if held:
+        yield made()
+
+
 # Arithmetic modulo 2 ** 64 that can't overflow: 32-bit halves, put together by shifts.
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import Codec, CodecError, Encoded, bit_length, in_chunk, narrow, per_chunk, unsigned, up_to_here, whole_chunk, width_for, wrap_add, wrap_sub, wrap_sum
+from ..core import Codec, CodecError, Encoded, bit_length, in_arrays, in_chunk, narrow, per_chunk, unsigned, up_to_here, whole_chunk, width_for, wrap_add, wrap_sub, wrap_sum
 
 MAX_RUNS = 64
 
@@ -271,9 +271,8 @@ def unpacked(rows: DataFrame) -> DataFrame:
     """Numbers of rows chunk_id, v (binary), bits, n."""
 
     def run(batches):
-        for b in batches:
-            for chunk, v, bits, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(np.arange(n)), pa.array(unpack_bits(v, bits, n).view(np.int64))], ["chunk_id", "pos", "v"])
+        rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
+        yield from in_arrays((chunk, unpack_bits(v, bits, n).view(np.int64)) for chunk, v, bits, n in rows)
 
     return rows.select("chunk_id", "v", "bits", "n").mapInArrow(run, "chunk_id long, pos long, v long")
 

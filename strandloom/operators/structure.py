@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Codec, CodecError, Encoded, in_chunk, narrow, per_chunk
+from ..core import Codec, CodecError, Encoded, in_arrays, in_chunk, narrow, per_chunk
 
 MAX_STRING_OUTPUTS = 2048
 MAX_INTERLEAVED = 512
@@ -100,10 +100,8 @@ class SerialToNumbers(Codec):
         kind = self.kind
 
         def run(batches):
-            for b in batches:
-                for chunk, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(v, kind).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(x), pa.int64()), pa.array(np.arange(len(x))), pa.array(x)], ["chunk_id", "pos", "v"])
+            rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            yield from in_arrays((chunk, np.frombuffer(v, kind).astype(np.int64)) for chunk, v in rows)
 
         return Encoded({"v": s.select("chunk_id", F.col("v").cast("binary").alias("v")).mapInArrow(run, "chunk_id long, pos long, v long")}, s.select("chunk_id"))
 

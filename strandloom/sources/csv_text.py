@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Codec, CodecError, Encoded
+from ..core import Codec, CodecError, Encoded, in_batches
 
 FIELD, SEPARATOR, NEWLINE = "field", "separator", "newline"
 
@@ -69,18 +69,19 @@ class CsvText(Codec):
     def encode(self, s: DataFrame) -> Encoded:
         sep, null_aware, names = self.sep, self.null_aware, [c.split()[0] for c in self.SCHEMA.split(", ")]
 
-        def run(batches):
+        def rows(batches):
             for b in batches:
                 for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    rows, row, seen = [], 0, {}
+                    row, seen = 0, {}
                     for pos, (kind, col, v) in enumerate(tokens(data, sep, null_aware)):
                         at = seen.get(col, 0) if kind == FIELD else 0
-                        rows.append((chunk, pos, kind, col, row, at, v))
+                        yield chunk, pos, kind, col, row, at, v
                         if kind == FIELD:
                             seen[col] = at + 1
                         row += kind == NEWLINE
-                    for k in range(0, len(rows), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000], strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+
+        def run(batches):
+            yield from in_batches(rows(batches), names, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
 
         x = s.select("chunk_id", F.col("v").cast("binary").alias("v")).mapInArrow(run, self.SCHEMA)
         return Encoded({"tokens": x}, s.select("chunk_id"))

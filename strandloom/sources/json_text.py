@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Codec, Encoded
+from ..core import Codec, Encoded, in_batches
 
 RESERVED = b"SKRNTFZ\\"
 LITERALS = {b"true": b"T", b"false": b"F", b"null": b"Z"}
@@ -113,14 +113,16 @@ class JsonText(Codec):
     STREAMS = ("values", "keys", "numbers", "raw")
 
     def encode(self, s: DataFrame) -> Encoded:
-        def run(batches):
+        def rows(batches):
             for b in batches:
                 for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     structure, *streams = lex(data)
-                    rows = [("structure", 0, structure)] + [(n, k, x) for n, xs in zip(self.STREAMS, streams, strict=True) for k, x in enumerate(xs)]
-                    for k in range(0, len(rows), 50_000):
-                        name, pos, v = zip(*rows[k : k + 50_000], strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(name), pa.int64()), pa.array(name), pa.array(pos, pa.int64()), pa.array(v, pa.binary())], ["chunk_id", "stream", "pos", "v"])
+                    yield chunk, "structure", 0, structure
+                    for name, xs in zip(self.STREAMS, streams, strict=True):
+                        yield from ((chunk, name, k, x) for k, x in enumerate(xs))
+
+        def run(batches):
+            yield from in_batches(rows(batches), ["chunk_id", "stream", "pos", "v"], [pa.int64(), pa.string(), pa.int64(), pa.binary()])
 
         x = s.select("chunk_id", F.col("v").cast("binary").alias("v")).mapInArrow(run, "chunk_id long, stream string, pos long, v binary")
         return Encoded({n: x.where(F.col("stream") == n).drop("stream") for n in ("structure", *self.STREAMS)})
