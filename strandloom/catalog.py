@@ -6,16 +6,19 @@ get: scans with the two or three columns they need, one exchange by chunk, windo
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .core import stream, table
 from .functions import statistics as st
-from .operators import backends, clustering, dictionary, numeric, segmenters, selectors, structure
+from .operators import backends, clustering, dictionary, nested, numeric, relational, segmenters, selectors, structure
 from .plans import graph, search
-from .sources import csv_text, json_text, layout
+from .sources import csv_text, json_text, layout, layout_vm, messages
+from .streaming import chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -785,3 +788,119 @@ x AS (SELECT m.*, k AS cardinality, range_size, round(h, 6) AS entropy, m.n * 8
 SELECT chunk_id AS column_name, n, cardinality, range_size, mean, variance, stddev, skewness, kurtosis, entropy, raw, bitpack, tokenize,
 CASE WHEN cardinality = 1 THEN 'constant' WHEN least(bitpack, tokenize) >= raw THEN 'store' WHEN bitpack <= tokenize THEN 'bitpack' ELSE 'tokenize' END AS choice, least(bitpack, tokenize, raw)::BIGINT AS size FROM x""")(stream_profile)
 
+
+
+# Nested columns, streaming, and joins beyond codecs
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(_div("vec_id", 64).alias("chunk_id"), F.col("vec_id").alias("key"), F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("long")).alias("x"))
+
+
+VECTORS = "s AS (SELECT vec_id // 64 AS chunk_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS pos, list_transform(embedding, lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)"
+
+
+def _vector_stream(spark, d):
+    v = _vectors(spark, d)
+    return stream(v, "x", "key", F.col("chunk_id"))
+
+
+@query("nested_lengths", f"WITH {VECTORS} SELECT chunk_id, pos, len(v) AS v FROM s")
+def _(spark, d):
+    return nested.Nested().encode(_vector_stream(spark, d))["n"]
+
+
+@query("nested_values", f"WITH {VECTORS}, x AS (SELECT chunk_id, pos AS p, unnest(v) AS v, unnest(range(len(v))) AS k FROM s) SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY p, k) - 1 AS pos, v FROM x")
+def _(spark, d):
+    return nested.Nested().encode(_vector_stream(spark, d))["v"]
+
+
+@query("nested_round_trip", f"WITH {VECTORS} SELECT chunk_id, pos, array_to_string(v, ',') AS v FROM s")
+def _(spark, d):
+    n = nested.Nested()
+    back = n.decode(n.encode(_vector_stream(spark, d)))
+    return back.withColumn("v", F.array_join(F.transform("v", lambda x: x.cast("string")), ","))
+
+
+@query("layout_program", f"WITH {ORDERS} SELECT chunk_id, pos, v FROM s")
+def _(spark, d):
+    s = _records(spark, d)
+    program = layout_vm.LayoutProgram("push.tag 1\npush.type.u32le\npush.remaining\npush.i32 4\nmath.div\nsegment.create_tagged\nhalt")
+    return program.numbers(program.encode(structure.joined_bytes(s, s.select("chunk_id").distinct())), 0)
+
+
+PROTO_ORDER = {1: "uint64", 2: "sint64", 3: "string"}
+
+
+@query("protobuf_fields", f"WITH {_stream_sql('nation', 'n_nationkey', 8, 'n_name')} SELECT chunk_id, pos, v FROM s", chunk_id="BIGINT")
+def _(spark, d):
+    name = F.col("n_name")
+    raw = F.concat(F.unhex(F.lit("08")), F.unhex(F.lpad(F.hex(F.col("n_nationkey")), 2, "0")), F.unhex(F.lit("1A")), F.unhex(F.lpad(F.hex(F.octet_length(name)), 2, "0")), name.cast("binary"))
+    m = messages.Messages(PROTO_ORDER)
+    s = stream(table(spark, d, "nation"), raw, "n_nationkey", _div("n_nationkey", 8))
+    return m.stream(m.encode(s), "string").withColumn("v", F.col("v").cast("string"))
+
+
+@query("streaming_delta_encode", f"WITH {_stream_sql('events', 'event_id', 2048, 'user_id')}, {DELTAS} SELECT chunk_id, pos, v FROM d")
+def _(spark, d):
+    """A stream of files, a micro-batch at a time, run until nothing is left."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streaming-")
+    base = f"{base.rstrip('/')}/streaming-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    encode = lambda b: numeric.Delta().encode(stream(b, "user_id", "event_id", _div("event_id", 2048)))["deltas"]
+    chunks.encode_to(source, encode, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("chunk_id", "pos", "v")
+
+
+def _micros(c: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
+
+
+@query("event_windows", """SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_us, event_type, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean
+FROM events GROUP BY ALL""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    x = chunks.profile(e, "ts", "value", "6 hours", by="event_type")
+    return x.select(_micros("window.start").alias("start_us"), "event_type", "n", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean")])
+
+
+@query("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM i GROUP BY user_id, k""")
+def _(spark, d):
+    return chunks.sessions(table(spark, d, "events"), "ts", "user_id", "2 hours").select("user_id", _micros("start").alias("start_us"), "n")
+
+
+@query("asof_join", "SELECT o.o_orderkey, o.o_custkey, e.value FROM orders o ASOF LEFT JOIN (SELECT user_id, event_id, value FROM events) e ON o.o_custkey = e.user_id AND o.o_orderkey >= e.event_id")
+def _(spark, d):
+    left = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"))
+    return relational.asof_join(left, table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("o_orderkey", "o_custkey", "value")
+
+
+@query("interval_join", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 25")
+def _(spark, d):
+    spans = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return relational.interval_join(table(spark, d, "part"), spans, "p_retailprice", "low", "high", 50.0).select("p_partkey", "s_suppkey")
+
+
+@query("rollup_and_cube", """SELECT l_returnflag, l_linestatus, grouping(l_returnflag) * 2 + grouping(l_linestatus) AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""", level="BIGINT")
+def _(spark, d):
+    x = table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return x.select("l_returnflag", "l_linestatus", "level", "n", "quantity")
+
+
+@query("top_orders_by_priority", "SELECT o_orderpriority, o_orderkey, k FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 10", k="INTEGER")
+def _(spark, d):
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k <= 10").select("o_orderpriority", "o_orderkey", "k")
+
+
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("shared_keys", "SELECT c_custkey AS k FROM customer INTERSECT SELECT p_partkey FROM part")
+def _(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, d, "part").select("p_partkey"))
