@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_rows
 
 #: Chunks, and pieces, kept by a worker.
-KEPT = 300_000
+KEPT = 500_000
 #: Letters with ASCII marks behind them, none of which begins a contraction or a special token.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: The pieces of byte-level BPE (fixed values of the public tokenizer).

@@ -142,7 +142,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.chunks, self.words, self.rest = Kept(self._chunk, 400_000), Kept(self._word, 200_000), Kept(self._whole, 20_000)
+        self.chunks, self.words, self.rest = Kept(self._chunk, 800_000), Kept(self._word, 600_000), Kept(self._whole, 20_000)
 
     def _chunk(self, chunk: bytes) -> bytes:
         plain = PLAIN.fullmatch(chunk)
