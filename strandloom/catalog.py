@@ -6,14 +6,13 @@ get: scans with the two or three columns they need, one exchange by chunk, windo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import stream, table
+from .core import scratch_dir, stream, table
 from .functions import statistics as st
 from .operators import backends, clustering, dictionary, nested, numeric, relational, segmenters, selectors, structure
 from .plans import graph, search
@@ -844,8 +843,7 @@ def _(spark, d):
 @query("streaming_delta_encode", f"WITH {_stream_sql('events', 'event_id', 2048, 'user_id')}, {DELTAS} SELECT chunk_id, pos, v FROM d")
 def _(spark, d):
     """A stream of files, a micro-batch at a time, run until nothing is left."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streaming-")
-    base = f"{base.rstrip('/')}/streaming-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/streaming-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     encode = lambda b: numeric.Delta().encode(stream(b, "user_id", "event_id", _div("event_id", 2048)))["deltas"]
     chunks.encode_to(source, encode, f"{base}/out", f"{base}/state").awaitTermination()

@@ -10,6 +10,7 @@ a first value) is the header, a DataFrame with one row for each chunk.  Encoders
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -62,6 +63,19 @@ class Codec:
             raise CodecError(f"{self.name} can't encode chunk {bad[0].chunk_id}")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
+
+    Only where the session names none (tests, one machine) a temporary folder is made, as the context's checkpoint
+    folder, so that it is the same for the session's life.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def in_chunk() -> Window:
     return Window.partitionBy("chunk_id").orderBy("pos")
 

@@ -40,5 +40,11 @@ def test_query(spark, tables, name):
     assert rows == want
 
 
+def test_scratch_folder_is_the_sessions(spark):
+    from strandloom.core import scratch_dir
+
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def test_every_query_has_sql_but_the_sequential_one():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"segment_lines"}
