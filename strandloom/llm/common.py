@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,22 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import scratch_dir
+
 #: Python's bytes.split() without arguments cuts at exactly x20 and x09-x0D, the separators of a word.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables of one operator call: written with Spark's committer, so that they outlive any executor."""
 
@@ -74,7 +63,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
-
-
-def sql_str(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
