@@ -256,6 +256,18 @@ def _(spark, d):
     return c.decode(c.encode(_mixed(spark, d)))
 
 
+@query("ycocg", f"""WITH {_stream_sql('part', 'p_partkey', 256, 'p_partkey')}, x AS (SELECT chunk_id, pos, v * 37 % 256 AS r, v * 11 % 256 AS g, v % 256 AS b FROM s),
+t AS (SELECT *, r - b AS co, b + ((r - b) >> 1) AS t FROM x) SELECT chunk_id, pos, t + ((g - t) >> 1) AS y, co, g - t AS cg FROM t""")
+def _(spark, d):
+    key = F.col("p_partkey")
+    e = numeric.YCoCg().encode(*(stream(table(spark, d, "part"), v % 256, "p_partkey", _div("p_partkey", 256)) for v in (key * 37, key * 11, key)))
+    out = None
+    for name, s in e.streams.items():
+        part = s.withColumnRenamed("v", name)
+        out = part if out is None else out.join(part, ["chunk_id", "pos"])
+    return out
+
+
 # Dictionaries, constants, duplicates, prefixes
 
 PRIORITIES = _stream_sql("orders", "o_orderkey", 4096, "o_orderpriority")
@@ -669,6 +681,18 @@ for _name, _codec in {"huffman": backends.Huffman, "fse": backends.Fse, "field_l
         return codec().decode(codec().encode(_bytes(spark, d)))
 
 
+@query("entropy_round_trip", f"WITH {BYTES} SELECT * FROM s")
+def _(spark, d):
+    c = backends.Entropy()
+    return c.decode(c.encode(_bytes(spark, d)))
+
+
+@query("num_to_serial_round_trip", f"WITH {ORDERS} SELECT * FROM s")
+def _(spark, d):
+    c = structure.NumbersToSerial()
+    return c.decode(c.encode(orders(spark, d)))
+
+
 for _name, _codec in {"zstd": backends.Zstd, "lz4": backends.Lz4, "store": backends.Store}.items():
 
     @query(f"{_name}_round_trip", f"WITH {TEXTS} SELECT * FROM s")

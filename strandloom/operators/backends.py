@@ -296,6 +296,51 @@ class FieldLz(Codec):
         return per_chunk(every, unpack, "chunk_id long, pos long, v long")
 
 
+class Entropy(Codec):
+    """Bytes (numbers 0 to 255) by the back end that the cost rule names, chunk by chunk.
+
+    mode: "any", or "huffman" or "fse" to settle the entropy coder.
+    """
+
+    name = "entropy"
+
+    def __init__(self, mode: str = "any"):
+        self.mode = mode
+
+    @staticmethod
+    def _ways() -> dict[str, Codec]:
+        from .dictionary import Constant, FlatPack
+        from .numeric import BitPack
+
+        return {"store": Store(), "constant": Constant(), "bitpack": BitPack(), "flatpack": FlatPack(), "huffman": Huffman(), "fse": Fse()}
+
+    def check(self, s: DataFrame) -> DataFrame:
+        return s.groupBy("chunk_id").agg(F.bool_and(F.col("v").between(0, 255)).alias("ok"))
+
+    def encode(self, s: DataFrame) -> Encoded:
+        from ..functions.statistics import byte_statistics
+        from .selectors import byte_backend
+
+        x = byte_statistics(s)
+        choice = x.select("chunk_id", byte_backend(F.col("n"), F.col("distinct"), F.col("top"), F.col("entropy"), self.mode).alias("way"))
+        streams, inner = {}, {}
+        for name, codec in self._ways().items():
+            enc = codec.encode(s.join(choice.where(F.col("way") == name).select("chunk_id"), "chunk_id", "left_semi"))
+            streams |= {f"{name}.{k}": v for k, v in enc.streams.items()}
+            if enc.header is not None:
+                streams[f"{name}#"] = enc.header
+            inner[name] = {"names": list(enc.streams), "params": enc.params}
+        return Encoded(streams, choice, {"ways": inner})
+
+    def decode(self, enc: Encoded) -> DataFrame:
+        out = None
+        for name, codec in self._ways().items():
+            w = enc.params["ways"][name]
+            part = codec.decode(Encoded({k: enc[f"{name}.{k}"] for k in w["names"]}, enc.streams.get(f"{name}#"), w["params"])).select("chunk_id", "pos", "v")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
 def stored_size(s: DataFrame, level: int = 3) -> DataFrame:
     """chunk_id, bytes: what a chunk of numbers takes as zstandard-compressed 64-bit values."""
 

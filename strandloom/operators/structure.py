@@ -110,6 +110,21 @@ class SerialToNumbers(Codec):
         return joined_bytes(enc["v"].withColumn("v", number_to_bytes(F.col("v"), width, big)), enc.header)
 
 
+class NumbersToSerial(Codec):
+    """A stream of numbers to one binary for each chunk, little-endian."""
+
+    name = "convert_num_to_serial_le"
+
+    def __init__(self, width: int = 64):
+        self.width = width
+
+    def encode(self, s: DataFrame) -> Encoded:
+        return Encoded({"v": joined_bytes(s.withColumn("v", number_to_bytes(F.col("v"), self.width)), s.select("chunk_id").distinct())})
+
+    def decode(self, enc: Encoded) -> DataFrame:
+        return SerialToNumbers(self.width).encode(enc["v"])["v"]
+
+
 class SetStringLengths(Codec):
     """One content for each chunk and a stream of byte lengths to strings; the lengths must cover the content."""
 

@@ -5,8 +5,9 @@ without one is stored.  Nodes are described by name and keywords, so a graph is
 plan: it is decoded without the graph that made it.
 
 A selector stands where a node may: ``{"choose": [node, ...]}`` takes, for each chunk, the node whose stored form is
-smallest (the first of equals), ``{"if": check, "then": node, "else": node}`` follows a codec's own check.  Both send
-each chunk its own way, so encoding stays one lazy plan.
+smallest (the first of equals), ``{"if": check, "then": node, "else": node}`` follows a codec's own check, and
+``{"model": trees, "nodes": {label: node}}`` a learned model over the chunk's features.  All send each chunk its own
+way, so encoding stays one lazy plan.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import Codec, CodecError, Encoded
+from ..functions.statistics import feature_vector
 from ..operators import backends, dictionary, numeric, structure
 from ..operators.backends import stored_size
+from ..operators.selectors import BoostedTrees
 
 CODECS: dict[str, Callable[..., Codec]] = {
     "store": backends.Store, "delta": numeric.Delta, "zigzag": numeric.ZigZag, "range_pack": numeric.RangePack, "divide_by": numeric.DivideBy, "float_deconstruct": numeric.FloatDeconstruct,
     "merge_sorted": numeric.MergeSorted, "quantize": numeric.Quantize, "bitpack": numeric.BitPack, "parse_int": numeric.ParseInt, "try_parse_int": numeric.TryParseInt, "tokenize": dictionary.Tokenize,
     "constant": dictionary.Constant, "prefix": dictionary.Prefix, "flatpack": dictionary.FlatPack, "transpose_split": structure.TransposeSplit, "separate_strings": structure.SeparateStrings,
     "split": structure.SplitN, "records": structure.SerialToRecords, "numbers": structure.RecordsToNumbers, "split_by_struct": structure.SplitByStruct, "huffman": backends.Huffman, "fse": backends.Fse,
-    "field_lz": backends.FieldLz, "zstd": backends.Zstd, "lz4": backends.Lz4,
+    "field_lz": backends.FieldLz, "zstd": backends.Zstd, "lz4": backends.Lz4, "entropy": backends.Entropy, "bytes_of": structure.NumbersToSerial,
 }
 
 
@@ -47,8 +50,14 @@ def when(check: dict, then: dict, other: dict) -> dict:
     return {"if": check, "then": then, "else": other}
 
 
+def learned(model: dict, nodes: dict[str, dict]) -> dict:
+    return {"model": model, "nodes": nodes}
+
+
 def unknown_codecs(graph: dict) -> set[str]:
     """Names in a graph that aren't registered."""
+    if "model" in graph:
+        return set().union(*map(unknown_codecs, graph["nodes"].values()))
     if "choose" in graph:
         return set().union(*map(unknown_codecs, graph["choose"]))
     if "if" in graph:
@@ -90,6 +99,20 @@ class Frame:
     def decode(self) -> DataFrame:
         return _decode(self.plan, self, "")
 
+    def checksums(self) -> DataFrame:
+        """path, n, checksum of every stream and header: of their rows in any order."""
+        out = None
+        for name, df in {**self.streams, **{f"{k}#": h for k, h in self.headers.items()}}.items():
+            row = F.crc32(F.to_json(F.struct(*sorted(df.columns))).cast("binary")) if df.columns else F.lit(0)
+            part = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("x"), F.coalesce(F.sum(row), F.lit(0)).alias("s")).select(F.lit(name).alias("path"), "n", F.xxhash64("x", "s").alias("checksum"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def differences(self, sums: DataFrame) -> DataFrame:
+        """Paths whose checksums aren't those of `sums`."""
+        mine = self.checksums()
+        return mine.join(sums.withColumnsRenamed({"n": "n0", "checksum": "c0"}), "path", "full").where("n0 IS NULL OR n IS NULL OR n != n0 OR checksum != c0").select("path")
+
 
 def _file(name: str) -> str:
     return (name or "root").replace("/", "-")
@@ -105,8 +128,8 @@ def encode(graph: dict, s: DataFrame) -> Frame:
 
 
 def _encode(graph: dict, s: DataFrame, frame: Frame, path: str) -> dict:
-    if "choose" in graph or "if" in graph:
-        nodes = graph["choose"] if "choose" in graph else [graph["then"], graph["else"]]
+    if "codec" not in graph:
+        nodes = graph["choose"] if "choose" in graph else list(graph["nodes"].values()) if "model" in graph else [graph["then"], graph["else"]]
         routes = _routes(graph, s)
         parts = []
         frame.headers[f"{path}/route"] = routes
@@ -130,6 +153,11 @@ def _encode(graph: dict, s: DataFrame, frame: Frame, path: str) -> dict:
 
 def _routes(graph: dict, s: DataFrame) -> DataFrame:
     """chunk_id, way."""
+    if "model" in graph:
+        label, way = BoostedTrees(graph["model"]).label(), None
+        for k, name in enumerate(graph["nodes"]):
+            way = F.when(label == name, k) if way is None else way.when(label == name, k)
+        return feature_vector(s).select("chunk_id", F.coalesce(way, F.lit(0)).alias("way"))
     if "if" in graph:
         return _make(graph["if"]).check(s).select("chunk_id", F.when(F.col("ok"), 0).otherwise(1).alias("way"))
     out = None
@@ -178,6 +206,8 @@ def replace(graph: dict, name: str, new: dict) -> dict:
         return dict(new, name=name)
     if "choose" in graph:
         return {**graph, "choose": [replace(g, name, new) for g in graph["choose"]]}
+    if "model" in graph:
+        return {**graph, "nodes": {k: replace(g, name, new) for k, g in graph["nodes"].items()}}
     if "if" in graph:
         return {**graph, "then": replace(graph["then"], name, new), "else": replace(graph["else"], name, new)}
     return {**graph, "outputs": {k: replace(g, name, new) for k, g in graph["outputs"].items()}}
@@ -198,5 +228,15 @@ PROFILES = {
     "bytes": node("transpose_split"),
     "strings": node("prefix"),
     "text-column": node("try_parse_int", {"numbers": node("delta", {"deltas": node("zigzag")}), "exceptions": node("tokenize")}),
+    "delta_huffman": node("delta", {"deltas": node("zigzag", {"v": node("huffman")})}),
+    "delta_flatpack": node("delta", {"deltas": node("zigzag", {"v": node("range_pack", {"v": node("bitpack")})})}),
+    "delta_zstd": node("delta", {"deltas": node("bytes_of", {"v": node("zstd")})}),
+    "delta_field_lz": node("delta", {"deltas": node("field_lz")}),
+    "range_pack_zstd": node("range_pack", {"v": node("bytes_of", {"v": node("zstd")})}),
+    "tokenize_delta_field_lz": node("tokenize", {"alphabet": node("delta", {"deltas": node("field_lz")}), "indices": node("field_lz")}, sort=True),
+    "csv-column": node("try_parse_int", {"numbers": node("field_lz"), "exceptions": node("tokenize", {"indices": node("field_lz")})}),
+    "json-keys": node("tokenize", {"indices": node("field_lz")}, sort=True),
+    "json-numbers": node("try_parse_int", {"numbers": node("field_lz"), "exceptions": node("separate_strings")}),
+    "json-values": node("tokenize", {"alphabet": node("separate_strings", {"content": node("zstd")}), "indices": node("field_lz")}),
     "automatic-integers": choose(node("store"), node("delta", {"deltas": node("zigzag")}), node("tokenize", sort=True), node("range_pack"), node("divide_by")),
 }
