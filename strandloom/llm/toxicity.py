@@ -41,7 +41,9 @@ LOOKS = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "%": "x",
 }
 #: Costs of the channel, in nats.
-AS_LETTER, AS_BOUNDARY, DROPPED, DOUBLED = 1.0, 3.0, 2.0, 1.0
+AS_LETTER, AS_BOUNDARY, AT_EDGE, DROPPED, DOUBLED = 1.0, 3.0, 3.5, 2.0, 1.0
+#: Signs that are rarely mere marks where they begin or end a chunk with letters.
+OFTEN_LETTERS = "0123456789@$"
 EDGES = tuple(range(3, 7))
 #: What a chunk of one character has instead of weights: it may be part of a spelled-out word.
 SINGLE = (0.0, -1.0)
@@ -108,7 +110,7 @@ class Channel:
                 out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, DROPPED)] if n == 2 else [(c, 0.0), (c * 2, DOUBLED)])
                 continue
             inside = 0 < k < len(runs) - 1
-            readings = [(" ", AS_BOUNDARY if inside else 0.0)]
+            readings = [(" ", AS_BOUNDARY if inside else AT_EDGE if c in OFTEN_LETTERS else 0.0)]
             if inside and not c.isdigit():
                 readings.append(("", DROPPED if n == 1 else AS_BOUNDARY))
             readings += [(x, AS_LETTER) for x in LOOKS.get(c, "")]

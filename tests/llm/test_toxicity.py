@@ -70,7 +70,7 @@ def test_viterbi_finds_the_cheapest_reading(scorer):
         assert math.isclose(min(map(price, ways)), best)
 
 
-@pytest.mark.parametrize("seen, word", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("M0R0N!!", "moron"), ("wooorthless", "worthless"), ("p@thetic", "pathetic"), ("cl0wn***", "clown"), ("river,", "river"), ("street", "street")])
+@pytest.mark.parametrize("seen, word", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("M0R0N!!", "moron"), ("wooorthless", "worthless"), ("p@thetic", "pathetic"), ("cl0wn***", "clown"), ("river,", "river"), ("street", "street"), ("$cumbag", "scumbag"), ("worthle55", "worthless")])
 def test_restored_words(scorer, seen, word):
     assert scorer.channel.words(seen) == [word]
 
