@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-A candidate block of text is compressed by zstandard on its own and with each license template as raw dictionary.
-The share by which a template shrinks the block ranks the templates: text that the template contains costs next to
-nothing.  Templates that shrink it are then confirmed by an exact comparison of wording: the
-template's words are aligned with the block's, and a template is found if at least CONFIRMED of its words are there.
-A found template's words are taken out of the block before the next is compared, so that a block with two notices
+The words of a text near cues are compared with every license template.  A notice is a stretch of words that has at
+least CONFIRMED of a template's words in their order, among at most as many words as STRETCH templates have; how long
+the text around it is doesn't matter.  Each stretch is compressed by zstandard on its own and with each template as
+raw dictionary, and the share by which a template shrinks it ranks the templates: text that the template contains
+costs next to nothing.  Compression ranks and breaks ties; the wording alone decides.
+The notice with the most words in common is taken first and its words are taken out, so that a block with two notices
 gives both, and a short notice that is part of a longer one gives one.
 
 Candidate blocks: every word of every template is within `reach` words of one of the CUES in it (reach is worked out
@@ -12,6 +13,9 @@ from the templates), so the words within reach of a cue, with a quarter more for
 candidates that touch are one block.  A block longer than SPAN words is looked at in stretches of SPAN words that
 overlap by half, each more than twice as long as any template.
 
+Comparison: the most words in common are counted by bit vectors, from each word that may be a notice's first, over at
+most STRETCH template lengths, so the work grows with a block's length and not with its square.
+
 Everything about a document is in its row: there is no shuffle, and a task holds one batch of texts.
 """
 
@@ -19,8 +23,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from difflib import SequenceMatcher
+from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 import zstandard
@@ -33,8 +39,10 @@ from .license_templates import TEMPLATES
 CUES = ("licens", "licenc", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "liab")
 #: Share of a template's words that a block must have.
 CONFIRMED = 0.8
-#: Bytes of a dictionary at least.
-DICTIONARY = 256
+#: The longest stretch of a notice with inserted words, in lengths of its template.
+STRETCH = 2
+#: What an inserted word costs when stretches are compared, in matched words.
+INSERTED = 0.25
 SPAN = 1200
 
 _CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES), re.IGNORECASE)
@@ -45,9 +53,82 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class Wording:
+    """A template's words, and where they are in a block."""
+
+    def __init__(self, template: list[str]):
+        self.words, self.counts = template, Counter(template)
+        self.least = ceil(round(CONFIRMED * len(template), 6))
+        self.longest = STRETCH * len(template)
+        self.masks: dict[str, int] = {}
+        for k, w in enumerate(template):
+            self.masks[w] = self.masks.get(w, 0) | 1 << k
+        self.first = frozenset(template[: len(template) - self.least + 1])  # others leave too few after them
+
+    def best(self, block: list[str | None], start: int) -> tuple[float, int, int] | None:
+        """(worth, matched, end) of the best stretch from start that has enough words; taken words are None."""
+        n, least, get = len(self.words), self.least, self.masks.get
+        full = (1 << n) - 1
+        open_, matched, found = full, 0, None
+        for j in range(start, min(start + self.longest, len(block))):
+            mask = get(block[j])
+            if mask:
+                hit = open_ & mask
+                open_ = ((open_ + hit) | (open_ - hit)) & full
+                if (now := n - open_.bit_count()) > matched:  # the most words in common so far
+                    matched = now
+                    if matched >= least:
+                        worth = matched - INSERTED * (j + 1 - start - matched)
+                        if found is None or worth > found[0]:
+                            found = worth, matched, j + 1
+        return found
+
+    def starts(self, block: list[str]) -> list[int]:
+        """Words that may be a notice's first: enough of the template's words are in the stretch from there."""
+        counts = self.counts
+        held = Counter(w for w in block if w in counts)
+        if sum(min(n, counts[w]) for w, n in held.items()) < self.least:
+            return []
+        out, within, common, end = [], Counter(), 0, 0
+        for start, w in enumerate(block):
+            while end < min(start + self.longest, len(block)):
+                if (x := block[end]) in counts:
+                    common += within[x] < counts[x]
+                    within[x] += 1
+                end += 1
+            if common >= self.least and w in self.first:
+                out.append(start)
+            if w in counts:
+                within[w] -= 1
+                common -= within[w] < counts[w]
+        return out
+
+    def align(self, seen: list[str | None]) -> list[tuple[int, int]]:
+        """(place in the template, place in seen) of the most words in common."""
+        t, n, m = self.words, len(self.words), len(seen)
+        most = [[0] * (m + 1)]
+        for i in range(n - 1, -1, -1):
+            w, below, row = t[i], most[-1], [0] * (m + 1)
+            for j in range(m - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if seen[j] == w else max(below[j], row[j + 1])
+            most.append(row)
+        most.reverse()
+        out, i, j = [], 0, 0
+        while i < n and j < m:
+            if seen[j] == t[i]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif most[i + 1][j] >= most[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = {name: words(text) for name, text in templates.items()}
+        self.wordings = {name: Wording(t) for name, t in self.templates.items()}
         self.alone = zstandard.ZstdCompressor(level=3)
         raw = lambda t: zstandard.ZstdCompressionDict(" ".join(words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.reach = 1 + 5 * max(self._reach(text) for text in templates.values()) // 4
@@ -61,16 +142,12 @@ class Scanner:
             cues.append(sum(w.start() < m.start() for w in _WORD.finditer(template)))
         return max(min(abs(k - c) for c in cues) for k in range(len(_WORD.findall(template))))
 
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """First and end character of each candidate block."""
-        cues = [m.start() for m in _CUE.finditer(text)]
-        if not cues:
-            return []
-        places = [m.span() for m in _WORD.finditer(text)]
+    def blocks(self, text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """First and end word of each candidate block."""
         starts = [a for a, _ in places]
         spans: list[list[int]] = []
-        for cue in cues:
-            k = bisect_right(starts, cue) - 1
+        for m in _CUE.finditer(text):
+            k = bisect_right(starts, m.start()) - 1
             lo, hi = max(0, k - self.reach), min(len(places), k + self.reach + 1)
             if spans and lo <= spans[-1][1]:
                 spans[-1][1] = hi
@@ -79,64 +156,89 @@ class Scanner:
         out = []
         for lo, hi in spans:
             firsts = range(lo, max(lo + 1, hi - SPAN // 2), SPAN // 2) if hi - lo > SPAN else [lo]
-            out += [(places[k][0], places[min(k + SPAN, hi) - 1][1]) for k in firsts]
+            out += [(k, min(k + SPAN, hi)) for k in firsts]
         return out
 
     def ranked(self, block: list[str]) -> list[tuple[float, str]]:
-        """(share by which it shrinks the block, template) of those that shrink it, the best first."""
+        """(share by which it shrinks the block, template), the best first."""
         data = " ".join(block).encode()
         alone = len(self.alone.compress(data))
         sizes = {name: alone - len(c.compress(data)) for name, c in self.given.items()}
-        return sorted(((less / alone, name) for name, less in sizes.items() if less > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(((less / alone, name) for name, less in sizes.items()), key=lambda x: (-x[0], x[1]))
 
     def find(self, block: list[str]) -> list[tuple]:
         """(template, rank, share, words, matched, missing, extra, differences, place) of those confirmed."""
-        compared = []
-        for rank, (share, name) in enumerate(self.ranked(block), 1):
-            template = self.templates[name]
-            ops = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-            matched = sum(i2 - i1 for tag, i1, i2, _, _ in ops if tag == "equal")
-            compared.append((-matched / len(template), -matched, rank, share, name, ops))
-        found, taken = [], set()
-        for _, _, rank, share, name, ops in sorted(compared, key=lambda x: x[:3]):
-            template = self.templates[name]
-            equal = [op for op in ops if op[0] == "equal"]
-            if not equal:
+        ranks: dict[tuple[int, int], dict[str, tuple[int, float]]] = {}
+
+        def rank(start: int, end: int) -> dict[str, tuple[int, float]]:
+            if (start, end) not in ranks:
+                ranks[start, end] = {name: (k, share) for k, (share, name) in enumerate(self.ranked(block[start:end]), 1)}
+            return ranks[start, end]
+
+        left: list[str | None] = list(block)
+
+        def candidate(name: str, start: int, taken: int) -> tuple | None:
+            got = self.wordings[name].best(left, start)
+            if got is None:
+                return None
+            worth, matched, end = got
+            return -worth, -matched / len(self.templates[name]), start, end, name, taken
+
+        queue = [c for name, w in self.wordings.items() for k in w.starts(block) if (c := candidate(name, k, 0))]
+        heapify(queue)
+        found, taken, names = [], [], set()
+        while queue:
+            equals = [heappop(queue)]
+            while queue and queue[0][:4] == equals[0][:4]:
+                equals.append(heappop(queue))
+            start, end = equals[0][2:4]
+            fresh = []
+            for c in equals:
+                if any(lo < end and start < hi for lo, hi in taken[c[5] :]):  # words of it may have been taken since
+                    if left[start] is not None and (c := candidate(c[4], start, len(taken))):
+                        heappush(queue, c)
+                elif c[4] not in names:
+                    fresh.append(c)
+            if not fresh:
                 continue
-            matched = sum(i2 - i1 for _, i1, i2, _, _ in equal)
-            own = [j for _, _, _, j1, j2 in equal for j in range(j1, j2)]
-            free = sum(j not in taken for j in own)
-            if matched < CONFIRMED * len(template) or free < CONFIRMED * len(template):
-                continue
-            taken.update(own)
-            lo, hi = equal[0][3], equal[-1][4]  # differences within the notice; what is around it isn't of it
-            differences, missing, extra = [], 0, 0
-            for tag, i1, i2, j1, j2 in ops:
-                j1, j2 = max(j1, lo), min(j2, hi)
-                here = block[j1:j2] if j2 > j1 else []
-                if tag != "equal" and (i2 > i1 or here):
-                    missing, extra = missing + i2 - i1, extra + len(here)
-                    differences.append(f"-{' '.join(template[i1:i2])}+{' '.join(here)}")
-            found.append((name, rank, share, len(template), matched, missing, extra, "|".join(differences), (lo, hi)))
+            best = min(fresh, key=lambda c: rank(start, end)[c[4]][0])  # of those as near the one that shrinks it most
+            for c in fresh:
+                if c is not best:
+                    heappush(queue, c)
+            name = best[4]
+            names.add(name)
+            found.append((name, *rank(start, end)[name], *self._compared(name, left, block, start, end)))
+            taken.append((start, end))
         return found
 
+    def _compared(self, name: str, left: list[str | None], block: list[str], start: int, end: int) -> tuple:
+        """(words, matched, missing, extra, differences, place) of a notice; its words are taken out of left."""
+        template = self.templates[name]
+        pairs = self.wordings[name].align(left[start:end])
+        differences, missing, extra, i, j = [], 0, 0, 0, pairs[0][1]
+        for i2, j2 in [*pairs, (len(template), pairs[-1][1] + 1)]:  # what is around the notice isn't of it
+            if i2 > i or j2 > j:
+                here = block[start + j : start + j2]
+                missing, extra = missing + i2 - i, extra + len(here)
+                differences.append(f"-{' '.join(template[i:i2])}+{' '.join(here)}")
+            i, j = i2 + 1, j2 + 1
+        for _, j in pairs:
+            left[start + j] = None
+        return len(template), len(pairs), missing, extra, "|".join(differences), (start + pairs[0][1], start + pairs[-1][1] + 1)
+
     def scan(self, text: str) -> list[tuple]:
+        if not _CUE.search(text):
+            return []
+        places = [m.span() for m in _WORD.finditer(text)]
         out, seen = [], set()
-        for a, b in self.blocks(text):
-            for x in self.find(words(text[a:b])):
-                place = self._place(text, a, b, x[-1])
-                row = (*place, *x[:-1])
+        for lo, hi in self.blocks(text, places):
+            for x in self.find([text[a:b].lower() for a, b in places[lo:hi]]):
+                place = places[lo + x[-1][0]][0], places[lo + x[-1][1] - 1][1]
                 if (x[0], place) not in seen:  # stretches overlap
                     seen.add((x[0], place))
-                    out.append(row)
+                    out.append((*place, *x[:-1]))
         return out
 
-    @staticmethod
-    def _place(text: str, start: int, end: int, span: tuple[int, int]) -> tuple[int, int]:
-        """The characters of the notice's words in the block."""
-        places = [m.span() for m in _WORD.finditer(text, start, end)]
-        return places[span[0]][0], places[span[1] - 1][1]
-
 
 @lru_cache(4)
 def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:

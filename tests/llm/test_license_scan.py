@@ -59,3 +59,23 @@ def test_long_blocks_and_hard_rows(spark):
     got = by_doc(op.license_scan(clashing(spark, [*HARD, (77, text), (77, text), (None, "Released under the MIT License.")])))
     assert set(got) == {77, None} and {r.license for r in got[77]} == {"MIT"}
     assert op.license_scan(docs(spark, [])).count() == 0
+
+
+def test_short_notices_in_long_blocks():
+    """How long the text around a notice is makes no difference, with or without changed words."""
+    r = random.Random(5)
+    s = op.Scanner(TEMPLATES)
+    short = [n for n, t in TEMPLATES.items() if len(op.words(t)) < 15]
+    for n in (300, 600, 1200):
+        for name in short:
+            around = words(n, r.randrange(10**6)).split()
+            for k in range(0, n, 40):
+                around[k] = "copyright"
+            at = r.randrange(n)
+            own = op.words(TEMPLATES[name])
+            got = s.find(around[:at] + own + around[at:])
+            assert [(x[0], x[4], x[-1]) for x in got] == [(name, len(own), (at, at + len(own)))], (name, n)
+    text = "Licensed under the terms of the Apache License, Version 2.0."
+    (got,) = s.scan(f"{words(500, 1)} copyright. {text} {words(500, 2)}")
+    assert (got[2], got[6], got[7], got[9]) == ("Apache-2.0 (statement)", 8, 0, "-+terms of the")
+    assert s.scan(f"Released {words(40, 3)} under {words(40, 4)} the MIT {words(40, 5)} license") == []
