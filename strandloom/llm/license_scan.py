@@ -5,13 +5,13 @@ least CONFIRMED of a template's words in their order, among at most as many word
 the text around it is doesn't matter.  Each stretch is compressed by zstandard on its own and with each template as
 raw dictionary, and the share by which a template shrinks it ranks the templates: text that the template contains
 costs next to nothing.  Compression ranks and breaks ties; the wording alone decides.
-The notice with the most words in common is taken first and its words are taken out, so that a block with two notices
-gives both, and a short notice that is part of a longer one gives one.
+The notice with the most words in common is taken first and its words are taken out, until no template is found any
+more, so that a block with two notices or two copies of one gives both, and a short notice that is part of a longer
+one gives one.
 
 Candidate blocks: every word of every template is within `reach` words of one of the CUES in it (reach is worked out
 from the templates), so the words within reach of a cue, with a quarter more for insertions, are a candidate, and
-candidates that touch are one block.  A block longer than SPAN words is looked at in stretches of SPAN words that
-overlap by half, each more than twice as long as any template.
+candidates that touch are one block of any length.
 
 Comparison: the most words in common are counted by bit vectors, from each word that may be a notice's first, over at
 most STRETCH template lengths, so the work grows with a block's length and not with its square.
@@ -43,7 +43,6 @@ CONFIRMED = 0.8
 STRETCH = 2
 #: What an inserted word costs when stretches are compared, in matched words.
 INSERTED = 0.25
-SPAN = 1200
 
 _CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
@@ -153,11 +152,7 @@ class Scanner:
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
-        out = []
-        for lo, hi in spans:
-            firsts = range(lo, max(lo + 1, hi - SPAN // 2), SPAN // 2) if hi - lo > SPAN else [lo]
-            out += [(k, min(k + SPAN, hi)) for k in firsts]
-        return out
+        return [(lo, hi) for lo, hi in spans]
 
     def ranked(self, block: list[str]) -> list[tuple[float, str]]:
         """(share by which it shrinks the block, template), the best first."""
@@ -167,7 +162,7 @@ class Scanner:
         return sorted(((less / alone, name) for name, less in sizes.items()), key=lambda x: (-x[0], x[1]))
 
     def find(self, block: list[str]) -> list[tuple]:
-        """(template, rank, share, words, matched, missing, extra, differences, place) of those confirmed."""
+        """(template, rank, share, words, matched, missing, extra, differences, place) of each notice, the nearest first."""
         ranks: dict[tuple[int, int], dict[str, tuple[int, float]]] = {}
 
         def rank(start: int, end: int) -> dict[str, tuple[int, float]]:
@@ -186,7 +181,7 @@ class Scanner:
 
         queue = [c for name, w in self.wordings.items() for k in w.starts(block) if (c := candidate(name, k, 0))]
         heapify(queue)
-        found, taken, names = [], [], set()
+        found, taken = [], []
         while queue:
             equals = [heappop(queue)]
             while queue and queue[0][:4] == equals[0][:4]:
@@ -197,7 +192,7 @@ class Scanner:
                 if any(lo < end and start < hi for lo, hi in taken[c[5] :]):  # words of it may have been taken since
                     if left[start] is not None and (c := candidate(c[4], start, len(taken))):
                         heappush(queue, c)
-                elif c[4] not in names:
+                else:
                     fresh.append(c)
             if not fresh:
                 continue
@@ -206,7 +201,6 @@ class Scanner:
                 if c is not best:
                     heappush(queue, c)
             name = best[4]
-            names.add(name)
             found.append((name, *rank(start, end)[name], *self._compared(name, left, block, start, end)))
             taken.append((start, end))
         return found
@@ -230,13 +224,11 @@ class Scanner:
         if not _CUE.search(text):
             return []
         places = [m.span() for m in _WORD.finditer(text)]
-        out, seen = [], set()
+        out = []
         for lo, hi in self.blocks(text, places):
             for x in self.find([text[a:b].lower() for a, b in places[lo:hi]]):
-                place = places[lo + x[-1][0]][0], places[lo + x[-1][1] - 1][1]
-                if (x[0], place) not in seen:  # stretches overlap
-                    seen.add((x[0], place))
-                    out.append((*place, *x[:-1]))
+                first, end = x[-1]
+                out.append((places[lo + first][0], places[lo + end - 1][1], *x[:-1]))
         return out
 
 
@@ -249,7 +241,7 @@ COLUMNS = "doc_id long, start long, end long, license string, rank int, shrinks
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row for each notice found in a document.
+    """One row for each notice found in a document, each copy of it too.
 
     start and end are the notice's characters; rank is the template's place by compression and shrinks its share;
     n_missing and n_extra count the words that differ, and `differences` lists them in order as -template+text.

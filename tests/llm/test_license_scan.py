@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from helpers import HARD, clashing, docs, words
 
@@ -79,3 +80,19 @@ def test_short_notices_in_long_blocks():
     (got,) = s.scan(f"{words(500, 1)} copyright. {text} {words(500, 2)}")
     assert (got[2], got[6], got[7], got[9]) == ("Apache-2.0 (statement)", 8, 0, "-+terms of the")
     assert s.scan(f"Released {words(40, 3)} under {words(40, 4)} the MIT {words(40, 5)} license") == []
+
+
+def test_every_copy_gives_a_row():
+    s = op.Scanner(TEMPLATES)
+    mit, changed = TEMPLATES["MIT"], TEMPLATES["MIT"].replace("free of charge", "gratis").replace("KIND", "SORT")
+    got = s.scan("\n".join([mit, changed, mit]))
+    assert sorted((x[0], x[2], x[6], x[9]) for x in got) == [
+        (0, "MIT", 163, ""),
+        (len(mit) + 1, "MIT", 159, "-free of charge+gratis|-kind+sort"),
+        (len(mit) + len(changed) + 2, "MIT", 163, ""),
+    ]
+    many = s.scan("\n".join(f"/* Copyright {k} */ {mit} {words(30, k)}" for k in range(40)))
+    assert len(many) == 40 and {x[2] for x in many} == {"MIT"}
+    text = "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. " * 30 + "Released under the MIT License. " * 20
+    got = Counter((x[2], x[9]) for x in s.scan(text))
+    assert got == {("CC-BY-4.0 (statement)", ""): 30, ("CC-BY-NC-4.0 (statement)", ""): 30, ("MIT (statement)", ""): 20}
