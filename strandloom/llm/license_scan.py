@@ -13,6 +13,9 @@ Candidate blocks: every word of every template is within `reach` words of one of
 from the templates), so the words within reach of a cue, with a quarter more for insertions, are a candidate, and
 candidates that touch are one block of any length.
 
+An SPDX-License-Identifier line names its licenses itself: each license of its expression is a notice, whether or not
+there is a template of it, and the words of the line's head and the license are its template.
+
 Comparison: the most words in common are counted by bit vectors, from each word that may be a notice's first, over at
 most STRETCH template lengths, so the work grows with a block's length and not with its square.
 
@@ -36,7 +39,7 @@ from .common import map_batches, text_rows
 from .license_templates import TEMPLATES
 
 #: Stems that every notice has (in small letters).
-CUES = ("licens", "licenc", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "liab")
+CUES = ("licens", "licenc", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "liab", "reserved")
 #: Share of a template's words that a block must have.
 CONFIRMED = 0.8
 #: The longest stretch of a notice with inserted words, in lengths of its template.
@@ -46,6 +49,9 @@ INSERTED = 0.25
 
 _CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
+_ID = r"[A-Za-z0-9](?:[\w.+:-]*[\w+])?"
+_SPDX = re.compile(rf"(?i:SPDX-License-Identifier)[ \t]*:[ \t]*(\(*{_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_ID}\)*)*)")
+_LICENSE = re.compile(rf"{_ID}(?:[ \t]+WITH[ \t]+{_ID})?")
 
 
 def words(text: str) -> list[str]:
@@ -229,6 +235,21 @@ class Scanner:
             for x in self.find([text[a:b].lower() for a, b in places[lo:hi]]):
                 first, end = x[-1]
                 out.append((places[lo + first][0], places[lo + end - 1][1], *x[:-1]))
+        return out + [x for line in _SPDX.finditer(text) for x in self._identified(line)]
+
+    def _identified(self, line: re.Match) -> list[tuple]:
+        """A row for each license of an SPDX line."""
+        out = []
+        for m in _LICENSE.finditer(line[0], line.start(1) - line.start()):
+            if m[0] in ("AND", "OR"):
+                continue
+            own = words(f"SPDX-License-Identifier {m[0]}")
+            data = " ".join(own).encode()
+            alone = len(self.alone.compress(data))
+            with_own = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            share = (alone - len(with_own.compress(data))) / alone
+            rank = 1 + sum(other > share for other, _ in self.ranked(own))
+            out.append((line.start(), line.start() + m.end(), f"{' '.join(m[0].split())} (SPDX)", rank, share, len(own), len(own), 0, 0, ""))
         return out
 
 

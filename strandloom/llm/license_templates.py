@@ -14,6 +14,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0 (statement)": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0 (statement)": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0 (statement)": "Dedicated to the public domain under CC0 1.0 Universal.",
+    "All rights reserved": "All rights reserved.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
         "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "

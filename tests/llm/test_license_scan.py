@@ -96,3 +96,20 @@ def test_every_copy_gives_a_row():
     text = "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. " * 30 + "Released under the MIT License. " * 20
     got = Counter((x[2], x[9]) for x in s.scan(text))
     assert got == {("CC-BY-4.0 (statement)", ""): 30, ("CC-BY-NC-4.0 (statement)", ""): 30, ("MIT (statement)", ""): 20}
+
+
+def test_reserved_rights_and_spdx_lines(spark):
+    rows = [
+        (1, f"{words(300, 1)}\nAll rights reserved."),
+        (2, f"// SPDX-License-Identifier: Apache-2.0 */\n{words(40, 2)}"),
+        (3, f"# SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND EPL-2.0.\n{words(700, 3)}\n<!-- spdx-license-identifier: ISC-->"),
+        (4, f"All was reserved. {words(30, 4)} rights. The SPDX-License-Identifier is a line."),
+        (5, "Copyright 2020. All rights are reserved. Released under the MIT License."),
+    ]
+    got = {k: [(r.license, r.differences) for r in sorted(x, key=lambda r: (r.start, r.end))] for k, x in by_doc(op.license_scan(docs(spark, rows))).items()}
+    assert got == {
+        1: [("All rights reserved", "")],
+        2: [("Apache-2.0 (SPDX)", "")],
+        3: [(f"{x} (SPDX)", "") for x in ("MIT", "GPL-2.0-only WITH Classpath-exception-2.0", "EPL-2.0", "ISC")],
+        5: [("All rights reserved", "-+are"), ("MIT (statement)", "")],
+    }
