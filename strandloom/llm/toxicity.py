@@ -4,7 +4,11 @@ Writers hide words behind look-alike signs ("1d10t"), inserted spaces or dots ("
 repeated letters ("idiooot").  What was seen is a lattice: each sign may stand for itself, for letters it looks like,
 for a word boundary or for nothing, each at a cost (the channel).  A character trigram model counted over the whole
 corpus (the source) weighs letter sequences.  Viterbi decoding finds the cheapest reading of a lattice, and restored
-words are scored.
+words are scored.  Chunks of letters only are words as they stand; a word with doubled letters is scored with one
+letter for each run too, in training as well, so that "iidioott" meets "idiot" and "worrthless" meets "worthless".
+Chunks of two characters at most, whatever marks are around them, are fragments; those in a row are decoded together,
+each space a boundary or nothing, and scored as one word too.  A chunk without a letter is decoded if it has ALL_LOOKS
+look-alikes.
 
 Scoring: features are whole words and their beginnings and endings of 3 to 6 letters; a feature's weight is the lower
 bound of its log odds between toxic and clean documents.  A logistic model turns a document's two strongest words and
@@ -19,6 +23,8 @@ driver.  Corpus counts and scores cover every document, whole.
 from __future__ import annotations
 
 import math
+import re
+import string
 from collections import Counter
 from functools import lru_cache
 from itertools import groupby
@@ -45,8 +51,14 @@ AS_LETTER, AS_BOUNDARY, AT_EDGE, DROPPED, DOUBLED = 1.0, 3.0, 3.5, 2.0, 1.0
 #: Signs that are rarely mere marks where they begin or end a chunk with letters.
 OFTEN_LETTERS = "0123456789@$"
 EDGES = tuple(range(3, 7))
-#: What a chunk of one character has instead of weights: it may be part of a spelled-out word.
-SINGLE = (0.0, -1.0)
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_FRAGMENTS = re.compile(b"\x01\x01+")
+#: Marks that a fragment may have around it.
+_MARKS = "!|<(+" + "".join(c for c in string.punctuation if c not in LOOKS)
+#: Look-alikes of two kinds at least that a chunk without a letter must have to be read as a word.
+ALL_LOOKS = 3
+#: The most characters of a chunk that may be part of a spelled-out word, and of a row of two such chunks the least.
+FRAGMENT, TWO_FRAGMENTS = 2, 4
 
 
 def sign(c: str) -> int:
@@ -147,33 +159,64 @@ class Channel:
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk between white space; decoded if it has signs within, or letters repeated three times."""
-        core = chunk.lower()
-        a, b = 0, len(core)
-        while a < b and not core[a].isalnum() and core[a] not in LOOKS:
-            a += 1
-        while b > a and not core[b - 1].isalnum() and core[b - 1] not in LOOKS:
-            b -= 1
-        core = core[a:b]
+        core = within_marks(chunk.lower())
         letters = sum(map(str.isalpha, core))
         if not letters:
-            return []
+            looks = [c for c in core if c in LOOKS]
+            return self.decode(self.lattice(core)).split() if len(looks) >= ALL_LOOKS and len(set(looks)) > 1 else []
         if letters == len(core) and not any(x == y == z for x, y, z in zip(core, core[1:], core[2:], strict=False)):
             return [core]
         return self.decode(self.lattice(core)).split()
 
-    def spaced(self, letters: list[str]) -> list[str]:
-        """The words of single characters in a row: each space between them is a boundary or nothing."""
+    def readings(self, chunk: str) -> list[str]:
+        """The words of a chunk, and each with its repeated letters taken as one."""
+        return with_single_letters(self.words(chunk))
+
+    def row_readings(self, fragments: tuple[str, ...]) -> list[str]:
+        """The words of short chunks in a row as they are cheapest, and as one word: all of them, and those between marks."""
+        cut = "".join(within_marks(f) + " " * (f[-1:] not in LOOKS and not f[-1:].isalnum()) for f in fragments).split()
+        joined = {"".join(cut), *cut} if len(cut) > 1 else cut
+        return with_single_letters([*self.spaced(list(fragments)), *(w for c in sorted(joined) for w in self.words(c))])
+
+    def spaced(self, fragments: list[str]) -> list[str]:
+        """The words of short chunks in a row: each space between them is a boundary or nothing."""
         lattice = []
-        for k, c in enumerate(letters):
+        for k, fragment in enumerate(fragments):
             if k:
                 lattice.append([("", DROPPED / 2), (" ", DROPPED / 2)])
-            lattice.append([(c.lower(), 0.0)] if c.isalpha() else [(x, AS_LETTER) for x in LOOKS.get(c, "")] + [(" ", AS_LETTER)])
+            for c in fragment:
+                lattice.append([(c.lower(), 0.0)] if c.isalpha() else [(x, AS_LETTER) for x in LOOKS.get(c, "")] + [(" ", AS_LETTER)])
         return self.decode(lattice).split()
 
 
+def with_single_letters(words: list[str]) -> list[str]:
+    """A doubled letter may be the word's own or a repetition: words as they stand, and with one letter for each run."""
+    return words + [_RUN.sub(r"\1", w) for w in words if _RUN.search(w)]
+
+
+def within_marks(chunk: str) -> str:
+    """A chunk without the marks at its ends that aren't look-alikes."""
+    a, b = 0, len(chunk)
+    while a < b and not chunk[a].isalnum() and chunk[a] not in LOOKS:
+        a += 1
+    while b > a and not chunk[b - 1].isalnum() and chunk[b - 1] not in LOOKS:
+        b -= 1
+    return chunk[a:b]
+
+
+def is_fragment(chunk: str) -> bool:
+    """Whether a chunk may be part of a spelled-out word: short, without the marks around it."""
+    if len(chunk) <= FRAGMENT:
+        return True
+    core = chunk.strip(_MARKS)  # most chunks need no more
+    return not (core.isalnum() and len(core) > FRAGMENT) and 0 < len(within_marks(chunk).strip("!|<(+")) <= FRAGMENT
+
+
 def spelled_out(chunks: list[str]) -> list[list[str]]:
-    """Runs of three or more chunks of one character, with a letter among them."""
-    return [run for single, run in ((k, list(g)) for k, g in groupby(chunks, lambda c: len(c) == 1)) if single and len(run) > 2 and any(map(str.isalpha, run))]
+    """Runs of three or more fragments, or of two with TWO_FRAGMENTS characters, with a letter among them."""
+    runs = _FRAGMENTS.finditer(bytes([len(c) <= FRAGMENT or (not c.isalnum() and is_fragment(c)) for c in chunks]))
+    out = [chunks[m.start() : m.end()] for m in runs]
+    return [run for run in out if (len(run) > 2 or sum(map(len, run)) >= TWO_FRAGMENTS) and any(map(str.isalpha, "".join(run)))]
 
 
 def features(word: str) -> list[str]:
@@ -185,6 +228,7 @@ class Scorer:
     def __init__(self, channel: Channel, weights: dict[str, float], logistic: np.ndarray | None = None):
         self.channel, self.weights, self.logistic = channel, weights, logistic
         self.of = Kept(self._chunk)
+        self.row = Kept(lambda run: self.weight(channel.row_readings(run)))
 
     def weight(self, words: list[str]) -> tuple[float, float] | None:
         """The largest weight of a whole word, and of a beginning or an ending; None for nothing of weight."""
@@ -197,14 +241,13 @@ class Scorer:
         return (whole, part) if whole or part else None
 
     def _chunk(self, chunk: str) -> tuple[float, float] | None:
-        return SINGLE if len(chunk) == 1 else self.weight(self.channel.words(chunk))
+        return None if len(chunk) == 1 else self.weight(self.channel.readings(chunk))
 
     def signals(self, text: str) -> tuple[float, ...]:
         """The two strongest whole words, and the two strongest beginnings or endings, of different places in the text."""
         chunks = text.split()
         found = [w for w in map(self.of.__getitem__, chunks) if w]
-        if found.count(SINGLE) > 2:
-            found += [w for run in spelled_out(chunks) if (w := self.weight(self.channel.spaced(run)))]
+        found += [w for run in spelled_out(chunks) if (w := self.row[tuple(run)])]
         whole, part = (sorted(x)[-2:] for x in zip((0.0, 0.0), (0.0, 0.0), *found, strict=True))
         return whole[1], whole[0], part[1], part[0]
 
@@ -256,11 +299,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
 
     def count(batches):
         seen = Counter(), Counter()
-        kept = Kept(lambda chunk: frozenset(f for w in channel.words(chunk) for f in features(w)), 100_000)
+        kept = Kept(lambda chunk: frozenset(f for w in channel.readings(chunk) for f in features(w)), 100_000)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunks = (text or "").split()
-                spelled = [frozenset(f for w in channel.spaced(run) for f in features(w)) for run in spelled_out(chunks)]
+                spelled = [frozenset(f for w in channel.row_readings(tuple(run)) for f in features(w)) for run in spelled_out(chunks)]
                 seen[toxic].update(frozenset().union(*map(kept.__getitem__, set(chunks)), *spelled))
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield from counted(seen)

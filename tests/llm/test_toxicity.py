@@ -118,3 +118,32 @@ def test_stage_keeps_clean_rows(spark, tables):
     kept = op.without_toxic(spark, d, labels)
     want = op.scores(spark, d, labels).where("predicted = 0")
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+
+
+@pytest.mark.parametrize("seen", ["iidioott", "mmoorroonn", "iddiot", "worrthless", "sccumbag", "ppaatthheettiicc", "wwoorrtthhlleessss"])
+def test_doubled_letters(scorer, seen):
+    word = next(w for w in BAD if "".join(c for c, _ in itertools.groupby(w)) == "".join(c for c, _ in itertools.groupby(seen)))
+    assert scorer.of[seen] and scorer.of[seen][0] == scorer.of[word][0] > 0
+
+
+@pytest.mark.parametrize("seen, word", [("i d i o t,", "idiot"), ("id io t", "idiot"), ("(mo r on).", "moron"), ("pa th et ic", "pathetic"), ("cl ow n!", "clown"), ("m 0 r o n", "moron"), ("i, d, i, o, t", "idiot"), ("pa th et ic, to", "pathetic")])
+def test_fragments(scorer, seen, word):
+    text = f"river {seen} garden"
+    assert scorer.signals(text)[0] == scorer.of[word][0] > 0, scorer.signals(text)
+
+
+def test_words_of_look_alikes_only():
+    n = np.zeros(op.SIGNS**3, np.int64)
+    s = [op.sign(c) for c in " bigot "]
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        n[(a * 64 + b) * 64 + c] = 1000
+    channel = op.Channel(np.flatnonzero(n), n[np.flatnonzero(n)])
+    assert channel.words("8!60+") == ["bigot"] and channel.words("81607,") == ["bigot"]
+    assert channel.words("!!!") == channel.words("--") == channel.words("12") == []
+
+
+def test_doubled_and_broken_documents_are_found(spark, tables):
+    d, labels = tables
+    hidden = [(5000, "garden iidioott river mmoorroonn letter worrthless"), (5001, "town id io t, window cl ow n. path m o r o n, street"), (5002, "garden river letter street yellow town path of it in a to be, is so")]
+    got = {r.doc_id: r.predicted for r in op.scores(spark, d.unionByName(docs(spark, hidden)), labels).where("doc_id >= 5000").collect()}
+    assert got == {5000: 1, 5001: 1, 5002: 0}
