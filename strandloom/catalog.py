@@ -789,7 +789,7 @@ def _(spark, d):
 
 
 def stream_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: each numeric column of lineitem with its features, entropy, sizes and the cheapest back end."""
+    """The flagship: the integral columns of lineitem (order, part, supplier, line number, quantity) with their features, entropy, sizes and the cheapest back end."""
     t = table(spark, d, "lineitem")
     names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
     wide = t.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("chunk_id"), F.col(c).cast("long").alias("v")) for k, c in enumerate(names)])).alias("x"))
