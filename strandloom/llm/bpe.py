@@ -21,6 +21,7 @@ import json
 import re
 import struct
 from functools import lru_cache
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_rows
 
-#: Chunks, and pieces, kept by a worker.
-KEPT = 500_000
+#: Bytes of a table of chunks, or pieces, that a worker keeps.
+KEPT_BYTES = 24 << 20
+#: What an entry of such a table takes besides its key and value.
+ENTRY_BYTES = 100
+#: Pairs of tokens of which a worker keeps whether they fit.
+KEPT_PAIRS = 200_000
 #: Letters with ASCII marks behind them, none of which begins a contraction or a special token.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: The pieces of byte-level BPE (fixed values of the public tokenizer).
@@ -82,14 +87,14 @@ class Vocabulary:
         self.sizes = [len(t) for t in self.tokens]
         self.length = np.array(self.sizes, np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)))[:-1]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # of a * tokens + b
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, merged by rank, come out as a and b."""
-        key = a, b
+        bound = len(self.tokens)
+        key = a * bound + b
         if (known := self.fits.get(key)) is not None:
             return known
-        bound = len(self.tokens)
         ok = None
         while ok is None:
             joined = self.pair.get((a, b))
@@ -105,13 +110,13 @@ class Vocabulary:
                 if b + 1 == bound:
                     bound, a = a, self.right[a]
                     ok = True if a == bound else None
-        if len(self.fits) >= 1_000_000:
+        if len(self.fits) >= KEPT_PAIRS:
             self.fits.clear()
         self.fits[key] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n, size, fits = len(piece), self.sizes, self.fits
+        n, size, fits, tokens = len(piece), self.sizes, self.fits.get, len(self.tokens)
         longest = [0] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - size[token]] = token
@@ -123,7 +128,7 @@ class Vocabulary:
         token = longest[at]
         while True:
             to = at + size[token]
-            if (dead is None or not dead[to]) and (not out or (fits[last, token] if (last, token) in fits else self.compatible(last, token))):
+            if (dead is None or not dead[to]) and (not out or (self.compatible(last, token) if (fit := fits(last * tokens + token)) is None else fit)):
                 out.append(token)
                 if to == n:
                     return out
@@ -148,15 +153,21 @@ class Vocabulary:
 
 
 class Kept(dict):
-    """Results by chunk; emptied when full."""
+    """Results by chunk, of `most` bytes in all; emptied when full.  What would fill much of it isn't kept."""
 
-    def __init__(self, make, most: int = KEPT):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int = KEPT_BYTES):
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, chunk):
-        if len(self) >= self.most:
+        value = self.make(chunk)
+        size = ENTRY_BYTES + getsizeof(chunk) + getsizeof(value)
+        if size > self.most >> 8:
+            return value
+        self.held += size
+        if self.held > self.most:
             self.clear()
-        self[chunk] = value = self.make(chunk)
+            self.held = size
+        self[chunk] = value
         return value
 
 
@@ -169,7 +180,7 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.edge = regex.compile(r"^\s|\s$|^$")
-        self.first, self.later, self.whole = Kept(self._encode), Kept(self._later), Kept(self._piece)
+        self.first, self.later, self.whole = Kept(self._encode, KEPT_BYTES // 8), Kept(self._later), Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.vocabulary.encode_piece(piece.encode())

@@ -48,6 +48,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(run, schema)
 

@@ -41,6 +41,8 @@ MAGIC = b"SLPLANE1"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 21
 END_ID = 1
+#: Bytes of the tables that a worker keeps of chunks, words and marks.
+CHUNK_BYTES, WORD_BYTES, MARK_BYTES = 128 << 20, 80 << 20, 2 << 20
 FOOTER = struct.Struct("<QIIBQ")
 DOCUMENT = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8")])
 
@@ -142,7 +144,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.chunks, self.words, self.rest = Kept(self._chunk, 800_000), Kept(self._word, 600_000), Kept(self._whole, 20_000)
+        self.chunks, self.words, self.rest = Kept(self._chunk, CHUNK_BYTES), Kept(self._word, WORD_BYTES), Kept(self._whole, MARK_BYTES)
 
     def _chunk(self, chunk: bytes) -> bytes:
         plain = PLAIN.fullmatch(chunk)

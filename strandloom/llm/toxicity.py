@@ -16,8 +16,9 @@ two strongest parts of words into a probability.  Weights come from one part of
 model from another, so that it sees how chance features behave on texts they weren't chosen on.
 
 Bounds (parameters): FIT_ROWS labelled training rows of each class at most are fitted on, the first by a hash of
-doc_id; the model keeps MODEL_FEATURES features; the trigram model has SIGNS ** 3 cells.  These three alone reach the
-driver.  Corpus counts and scores cover every document, whole.
+doc_id; the trigram model has SIGNS ** 3 cells.  These and the features that the fitted texts make weighty (each is in
+several of at most FIT_ROWS toxic texts) alone reach the driver; a decoder holds only what its live states differ in.
+Corpus counts and scores cover every document, whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import re
 import string
 from collections import Counter
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,6 @@ from .bpe import Kept
 from .common import Scratch, map_batches, text_rows
 
 FIT_ROWS = 10_000
-MODEL_FEATURES = 20_000
 #: Signs of the trigram model: 0 a boundary, 1-26 a-z, 27-58 the small letters of Latin-1, 59 other letters.
 SIGNS = 64
 #: What a sign may stand for, besides itself (fixed values, common look-alikes).
@@ -51,6 +51,10 @@ AS_LETTER, AS_BOUNDARY, AT_EDGE, DROPPED, DOUBLED = 1.0, 3.0, 3.5, 2.0, 1.0
 #: Signs that are rarely mere marks where they begin or end a chunk with letters.
 OFTEN_LETTERS = "0123456789@$"
 EDGES = tuple(range(3, 7))
+#: Bytes of a worker's tables of chunks and of rows of fragments, and features counted before they are handed on.
+CHUNK_BYTES, ROW_BYTES, COUNTED = 24 << 20, 4 << 20, 100_000
+#: Steps of a decoding after which what all readings have in common is settled.
+SETTLE = 1024
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 _FRAGMENTS = re.compile(b"\x01\x01+")
 #: Marks that a fragment may have around it.
@@ -100,6 +104,50 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+@lru_cache(1 << 14)
+def _readings(c: str, n: int, inside: bool) -> tuple[tuple[str, float], ...]:
+    """Readings and costs of a sign that stands n times (3: or more) in a row, within a chunk or at its edge."""
+    if c.isalpha():
+        return ((c, 0.0),) if n == 1 else ((c * 2, 0.0), (c, DROPPED)) if n == 2 else ((c, 0.0), (c * 2, DOUBLED))
+    out = [(" ", AS_BOUNDARY if inside else AT_EDGE if c in OFTEN_LETTERS else 0.0)]
+    if inside and not c.isdigit():
+        out.append(("", DROPPED if n == 1 else AS_BOUNDARY))
+    out += [(x, AS_LETTER) for x in LOOKS.get(c, "")]
+    out += [(x * 2, AS_LETTER + DOUBLED) for x in LOOKS.get(c, "") if n > 1]
+    return tuple(out)
+
+
+@lru_cache(1 << 14)
+def _signs(reading: str) -> tuple[int, ...]:
+    return tuple(map(sign, reading))
+
+
+def _chain(link: list | None) -> list[list]:
+    """The links from the first to this one."""
+    out = []
+    while link:
+        out.append(link)
+        link = link[1]
+    return out[::-1]
+
+
+def _settled(states: dict, settled: list[str]) -> dict:
+    """The states without the links that they all share, whose readings are added to `settled`."""
+    chains = {at: _chain(link) for at, (_, link) in states.items()}
+    one = next(iter(chains.values()))
+    n = 0
+    while n < len(one) and all(c[n] is one[n] for c in chains.values()):
+        n += 1
+    if not n:
+        return states
+    settled += (link[0] for link in one[:n])
+    if n == len(one):
+        return {at: (total, None) for at, (total, _) in states.items()}
+    for c in chains.values():
+        c[n][1] = None
+    return states
+
+
 class Channel:
     """Decodes chunks of text with the trigram model."""
 
@@ -113,49 +161,46 @@ class Channel:
         self.cost = (-np.log((counts + 5.0 * back[None]) / (known + 5.0))).ravel().tolist()
 
     @staticmethod
-    def lattice(seen: str) -> list[list[tuple[str, float]]]:
+    def lattice(seen: str) -> list[tuple[tuple[str, float], ...]]:
         """For each run of a sign its readings and their costs; a space is a boundary."""
-        runs = [(c, len(list(g))) for c, g in groupby(seen.lower())]
-        out = []
-        for k, (c, n) in enumerate(runs):
-            if c.isalpha():
-                out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, DROPPED)] if n == 2 else [(c, 0.0), (c * 2, DOUBLED)])
-                continue
-            inside = 0 < k < len(runs) - 1
-            readings = [(" ", AS_BOUNDARY if inside else AT_EDGE if c in OFTEN_LETTERS else 0.0)]
-            if inside and not c.isdigit():
-                readings.append(("", DROPPED if n == 1 else AS_BOUNDARY))
-            readings += [(x, AS_LETTER) for x in LOOKS.get(c, "")]
-            readings += [(x * 2, AS_LETTER + DOUBLED) for x in LOOKS.get(c, "") if n > 1]
-            out.append(readings)
+        text, out, k = seen.lower(), [], 0
+        n = len(text)
+        while k < n:
+            end = k + 1
+            while end < n and text[end] == text[k]:
+                end += 1
+            out.append(_readings(text[k], min(end - k, 3), 0 < k and end < n))
+            k = end
         return out
 
-    def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest reading, by Viterbi over the last two signs."""
+    def decode(self, lattice: list[tuple[tuple[str, float], ...]]) -> str:
+        """The cheapest reading, by Viterbi over the last two signs.
+
+        A state's reading is a chain of links to what came before; chains that no state needs go by themselves, and
+        what all states have in common is settled every SETTLE steps.
+        """
         cost, s2 = self.cost, SIGNS * SIGNS
-        states = {(0, 0): 0.0}
-        steps = []
-        for readings in [*lattice, [(" ", 0.0)]]:
-            new: dict[tuple[int, int], float] = {}
-            came: dict[tuple[int, int], tuple] = {}
-            for (a0, b0), so_far in states.items():
-                for reading, channel in readings:
+        states: dict[tuple[int, int], tuple[float, list | None]] = {(0, 0): (0.0, None)}
+        settled: list[str] = []
+        for step, readings in enumerate(chain(lattice, [((" ", 0.0),)]), 1):
+            ways = [(reading, channel, _signs(reading)) for reading, channel in readings]
+            new: dict[tuple[int, int], tuple[float, list | None, str]] = {}
+            for (a0, b0), (so_far, link) in states.items():
+                for reading, channel, signs in ways:
                     a, b, total = a0, b0, so_far + channel
-                    for c in reading:
-                        x = sign(c)
+                    for x in signs:
                         if x or b:  # a boundary after a boundary is the same one
                             total += cost[a * s2 + b * SIGNS + x]
                             a, b = b, x
-                    if total < new.get((a, b), math.inf):
-                        new[a, b], came[a, b] = total, ((a0, b0), reading)
-            states = new
-            steps.append(came)
-        at = min(states, key=lambda k: (states[k], k))
-        out = []
-        for came in reversed(steps):
-            at, reading = came[at]
-            out.append(reading)
-        return "".join(reversed(out[1:]))
+                    known = new.get((a, b))
+                    if known is None or total < known[0]:
+                        new[a, b] = total, link, reading
+            states = {at: (total, [reading, link]) for at, (total, link, reading) in new.items()}
+            if not step % SETTLE:
+                states = _settled(states, settled)
+        best = min(states, key=lambda k: (states[k][0], k))
+        settled += (link[0] for link in _chain(states[best][1]))
+        return "".join(settled[:-1])  # but for the boundary at the end
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk between white space; decoded if it has signs within, or letters repeated three times."""
@@ -227,8 +272,8 @@ def features(word: str) -> list[str]:
 class Scorer:
     def __init__(self, channel: Channel, weights: dict[str, float], logistic: np.ndarray | None = None):
         self.channel, self.weights, self.logistic = channel, weights, logistic
-        self.of = Kept(self._chunk)
-        self.row = Kept(lambda run: self.weight(channel.row_readings(run)))
+        self.of = Kept(self._chunk, CHUNK_BYTES)
+        self.row = Kept(lambda run: self.weight(channel.row_readings(run)), ROW_BYTES)
 
     def weight(self, words: list[str]) -> tuple[float, float] | None:
         """The largest weight of a whole word, and of a beginning or an ending; None for nothing of weight."""
@@ -281,7 +326,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_features: int = MODEL_FEATURES) -> Scorer:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """The model: trigrams of all documents, weights and logistic model of labelled rows that aren't held out."""
     s = Scratch(spark, "toxicity")
     docs = text_rows(docs)
@@ -297,16 +342,22 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     texts = docs.join(F.broadcast(chosen), "doc_id").withColumn("second", F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 3 == 0)
     texts = s.write(texts.select("doc_id", "text", "toxic", "second"), "texts").repartition("doc_id")
 
+    def listed(words: list[str]) -> str:
+        return " ".join({f: None for w in words for f in features(w)})
+
     def count(batches):
         seen = Counter(), Counter()
-        kept = Kept(lambda chunk: frozenset(f for w in channel.readings(chunk) for f in features(w)), 100_000)
+        kept = Kept(lambda chunk: listed(channel.readings(chunk)), CHUNK_BYTES)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunks = (text or "").split()
-                spelled = [frozenset(f for w in channel.row_readings(tuple(run)) for f in features(w)) for run in spelled_out(chunks)]
-                seen[toxic].update(frozenset().union(*map(kept.__getitem__, set(chunks)), *spelled))
-            if len(seen[0]) + len(seen[1]) > 400_000:
-                yield from counted(seen)
+                chunks, found = (text or "").split(), set()
+                for chunk in set(chunks):
+                    found.update(kept[chunk].split())
+                for run in spelled_out(chunks):
+                    found.update(listed(channel.row_readings(tuple(run))).split())
+                seen[toxic].update(found)
+                if len(seen[0]) + len(seen[1]) > COUNTED:
+                    yield from counted(seen)
         yield from counted(seen)
 
     def counted(seen):
@@ -324,7 +375,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     counts = first.select("text", "toxic").mapInArrow(count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     weight = F.log(t / (nt + 1.0)) - F.log(c / (nc + 1.0)) - 1.64 * F.sqrt(1 / t + 1 / c)
-    best = counts.where("t > 1").withColumn("w", weight).where("w > 0.3").orderBy(F.desc("w"), "feature").limit(model_features).select("feature", "w").collect()
+    best = counts.where("t > 1").withColumn("w", weight).where("w > 0.3").select("feature", "w").collect()
     scorer = Scorer(channel, {r.feature: r.w for r in best})
 
     def signals(batch: pa.RecordBatch) -> pa.RecordBatch:

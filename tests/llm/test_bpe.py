@@ -31,10 +31,11 @@ def test_same_ids_as_the_library(library):
         assert e.vocabulary.decode(ids).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
 
 
-def test_table_of_chunks_is_bounded():
-    kept = op.Kept(lambda x: x * 2, 3)
-    assert [kept[k % 5] for k in range(40)] == [k % 5 * 2 for k in range(40)]
-    assert len(kept) <= 3
+def test_table_of_chunks_is_bounded_by_bytes():
+    kept = op.Kept(lambda x: x * 2, 1 << 16)
+    assert [kept[k % 1000] for k in range(4000)] == [k % 1000 * 2 for k in range(4000)]
+    assert 0 < len(kept) * op.ENTRY_BYTES < 1 << 16
+    assert kept["x" * 1000] == "x" * 2000 and "x" * 1000 not in kept
 
 
 def test_rows(spark, library):

@@ -70,6 +70,37 @@ def test_viterbi_finds_the_cheapest_reading(scorer):
         assert math.isclose(min(map(price, ways)), best)
 
 
+def test_settling_changes_no_reading(scorer, monkeypatch):
+    channel, r = scorer.channel, random.Random(8)
+    lattices = [channel.lattice("".join(r.choice("id1o0t!.s5@8 ") for _ in range(r.randrange(1, 300)))) for _ in range(60)]
+    want = [channel.decode(x) for x in lattices]
+    monkeypatch.setattr(op, "SETTLE", 3)
+    assert [channel.decode(x) for x in lattices] == want
+
+
+def test_long_texts_without_spaces_take_little_memory(scorer):
+    import tracemalloc
+
+    r = random.Random(9)
+    seen = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60_000))
+    tracemalloc.start()
+    scorer.channel.words(seen)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+
+
+def test_all_weighty_features_are_kept(spark):
+    """Of more than 20,000 features each weighs something: all are in the model."""
+    r = random.Random(3)
+    names = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(4500)]
+    rows = [(k, " ".join(names if k % 2 else PLAIN)) for k in range(120)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(120)], "doc_id long, quality int, toxic int")
+    weights = op.fit(spark, docs(spark, rows), labels).weights
+    clean = {f for n in op.with_single_letters(PLAIN) for f in op.features(n)}
+    assert len(weights) > 20_000 and set(weights) == {f for n in names for f in op.features(n)} - clean
+
+
 @pytest.mark.parametrize("seen, word", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("M0R0N!!", "moron"), ("wooorthless", "worthless"), ("p@thetic", "pathetic"), ("cl0wn***", "clown"), ("river,", "river"), ("street", "street"), ("$cumbag", "scumbag"), ("worthle55", "worthless")])
 def test_restored_words(scorer, seen, word):
     assert scorer.channel.words(seen) == [word]
