@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_rows
 
 #: Bytes of a table of chunks, or pieces, that a worker keeps.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 72 << 20
 #: What an entry of such a table takes besides its key and value.
 ENTRY_BYTES = 100
 #: Pairs of tokens of which a worker keeps whether they fit.
@@ -153,24 +153,33 @@ class Vocabulary:
 
 
 class Kept(dict):
-    """Results by chunk, of `most` bytes in all; emptied when full.  What would fill much of it isn't kept."""
+    """Results by chunk, of `most` bytes in all.  What would fill much of it isn't kept.
+
+    Full by half, it becomes the older half and is emptied; what is asked for again comes back from there.
+    """
 
     def __init__(self, make, most: int = KEPT_BYTES):
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
     def __missing__(self, chunk):
-        value = self.make(chunk)
+        value = self.older.get(chunk, _ABSENT)
+        if value is _ABSENT:
+            value = self.make(chunk)
         size = ENTRY_BYTES + getsizeof(chunk) + getsizeof(value)
         if size > self.most >> 8:
             return value
         self.held += size
-        if self.held > self.most:
+        if self.held > self.most >> 1:
+            self.older = dict(self)
             self.clear()
             self.held = size
         self[chunk] = value
         return value
 
 
+_ABSENT = object()
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 

@@ -15,6 +15,18 @@ from ..core import scratch_dir
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Bytes up to which a side whose size was summed is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Marked for broadcast if its values' bytes, summed over all rows, are few; as it is otherwise."""
+    of = {"string": lambda c: F.coalesce(F.octet_length(c), F.lit(0)), "binary": lambda c: F.coalesce(F.octet_length(c), F.lit(0))}
+    row = sum((of[kind](c) for c, kind in df.dtypes if kind in of), F.lit(16 * len(df.columns)).cast("long"))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+
+
 class Scratch:
     """Intermediate tables of one operator call: written with Spark's committer, so that they outlive any executor."""
 

@@ -4,13 +4,14 @@ An item is found in a document if at least 0.8 of its distinct five-word shingle
 are runs of letters and digits, lower-cased, so case and punctuation don't hide a passage.
 
 Search: items are partitioned by size, each partition holding those of 2^p to 2^(p+1)-1 shingles.  An item's sketch
-is its lowest k MinHash values, k = u - ceil(0.8 u) + 1 for its partition's largest size u (all of them, if it has
-fewer).  A document that contains the item lacks at most q - ceil(0.8 q) < k of its q shingles, so it has one of the
-sketch whatever the document's own size: no pair is lost, and short items need only a few values.  Documents that
-hit a sketch are candidates, and only they are verified, shingle by shingle, as strings.
-
-How it runs: the shingles of all documents stream through one join with the sketches, broadcast if they were counted
-and are few, else a shuffle join; only hits leave the scan.  The second scan reads candidate documents alone.
+is k of its MinHash values, k = u - ceil(0.8 u) + 1 for its partition's largest size u (all of them, if it has
+fewer): the lowest among those that the fewest items share, so that a phrase that many items have leads to few pairs.  A document that contains the item lacks at most q - ceil(0.8 q) < k of its q shingles, so it has one of the
+sketch whatever the document's own size: no pair is lost, and short items need only a few values.  A document that
+hits an item's sketch makes a candidate pair, and only these pairs are verified, shingle by shingle, as strings.
+
+How it runs: the shingles of all documents stream through one join with the sketches, broadcast if their bytes were
+summed and are few, else a shuffle join; only hits leave the scan.  The second scan reads candidate documents alone,
+and of their shingles only those that items have go on to meet the pairs.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, broadcast_if_small, fresh
 
 SHINGLE = 5
 CONTAINED = 0.8
-#: Rows up to which a counted side is broadcast: sketches of 16 bytes, candidate keys of 16.
-BROADCAST_ROWS = 1_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -47,11 +46,6 @@ def _strings(words: str) -> Column:
     return F.array_distinct(_each_shingle(words, lambda ws: F.concat_ws(" ", *ws)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows are few; as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, n_item, n_shared, containment.
 
@@ -69,19 +63,26 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, cont
     of = of.withColumn("w", parts).withColumn("hash", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(SHINGLE)])).drop("w")
     upper = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("long") - 1
     k = upper - F.ceil(upper * F.lit(contained) - 1e-9) + 1
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("hash"), "shingle"))
-    of = s.write(of.withColumn("sketched", rank <= k), "items")
+    shared = of.groupBy("hash").agg(F.count("*").alias("holders"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("holders", F.xxhash64("hash"), "shingle"))
+    of = s.write(of.withColumn("k", k).join(shared, "hash").withColumn("sketched", rank <= F.col("k")).select("item_id", "n_item", "shingle", "hash", "sketched"), "items")
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), _words(F.col("text")).alias("w"))
-    sketch = of.where("sketched").select("hash").distinct()
-    hits = d.select("doc_id", "content", F.explode(_hashes("w")).alias("hash")).join(_small(sketch), "hash")
-    candidates = s.write(hits.select("doc_id", "content").distinct(), "candidates")
+    sketch = of.where("sketched").select("hash", "item_id").distinct()
+    hits = d.select("doc_id", "content", F.explode(_hashes("w")).alias("hash")).join(broadcast_if_small(sketch), "hash")
+    pairs = s.write(hits.select("doc_id", "content", "item_id").distinct(), "pairs")
 
-    key = candidates.select(F.col("doc_id").alias("c_id"), F.col("content").alias("c_content"))
+    key = pairs.select(F.col("doc_id").alias("c_id"), F.col("content").alias("c_content")).distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    whole = whole.join(_small(key), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("content") == F.col("c_content")), "left_semi")
-    shingles = whole.select("doc_id", "content", _words(F.col("text")).alias("w")).select("doc_id", "content", F.explode(_strings("w")).alias("shingle")).distinct()
-    found = shingles.join(_small(of.select("shingle", "item_id", "n_item")), "shingle").groupBy("doc_id", "content", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    whole = whole.join(broadcast_if_small(key), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("content") == F.col("c_content")), "left_semi")
+    shingles = whole.select("doc_id", "content", _words(F.col("text")).alias("w")).select("doc_id", "content", F.explode(_strings("w")).alias("shingle"))
+    known = s.write(of.select("shingle").distinct(), "shingles")
+    had = s.write(shingles.join(broadcast_if_small(known), "shingle", "left_semi").distinct(), "had")
+    had = had.select(F.col("doc_id").alias("h_id"), F.col("content").alias("h_content"), F.col("shingle").alias("h_shingle"))
+    asked = of.select(F.col("item_id").alias("i_id"), "n_item", "shingle")
+    wanted = s.write(pairs.join(broadcast_if_small(asked), F.col("item_id").eqNullSafe(F.col("i_id"))).drop("i_id"), "wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("content") == F.col("h_content")) & (F.col("shingle") == F.col("h_shingle"))
+    found = wanted.join(had, same).groupBy("doc_id", "content", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     found = found.where(F.col("n_shared") >= F.col("n_item") * F.lit(contained) - 1e-9).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -90,7 +91,7 @@ def without_items(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
     """The rows of docs in whose doc_id no item is found; a null doc_id is looked at like any other."""
     name = fresh(docs, "sl_found")
     found = Scratch(spark, "decontaminate").write(contained_items(spark, docs, items).select(F.col("doc_id").alias(name)).distinct(), "found")
-    return docs.join(_small(found), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(broadcast_if_small(found), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 QUERY = "op7_benchmark_decontamination"

@@ -2,13 +2,14 @@
 
 Base patterns give candidate spans; so does `bare`, a long run of key-like characters with upper case, lower case and
 digits that no base span touches.  The candidates' values are hashed and counted over the whole corpus by distinct
-repositories and distinct owners.  A value that many owners have is an example that was copied around; a value of few
-owners that also looks live (long, varied, no placeholder words) is theirs.  Base spans always stay; bare spans are
+repositories and distinct owners.  A value that WIDELY owners have, or that stands in MANY repositories whoever owns
+them, is an example that was copied around; one of few owners and few repositories that also looks live (long, varied,
+no placeholder words) is theirs.  Base spans always stay; bare spans are
 added where their value is live and owner-specific.
 
 How it runs: one scan.  Positions come from the text between matches (split) and the matches' own lengths, summed
 along the row in blocks, so a text with many matches costs in proportion.  The scan writes one narrow row for each
-document; ownership is counted on distinct (value, owner, repository) after map-side aggregation, and joined back by
+document; owners and repositories are counted on distinct (value, owner, repository) after map-side aggregation, and joined back by
 value in a join whose hot keys adaptive execution can split.
 """
 
@@ -30,8 +31,8 @@ KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 #: A cheap pattern for each kind that every text with a span of it has.
 SIEVES = (rf"""({KEYWORDS})["']?\x20*[:=]""", "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}", "[A-Za-z0-9+/_=-]{20}")
 PLACEHOLDER = "(?i)example|changeme|placeholder|dummy|sample|your|xxxx|0000|1234|abcd"
-#: Owners from which on a value counts as widely copied.
-WIDELY = 3
+#: Owners, or repositories of all owners, from which on a value counts as widely copied.
+WIDELY, MANY = 3, 5
 #: Matches summed at a time.
 STEP = 128
 
@@ -77,7 +78,7 @@ def _candidate(k: int):
     return of
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), widely: int = WIDELY) -> DataFrame:
+def secret_scan(spark: SparkSession, docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), widely: int = WIDELY, many: int = MANY) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     spans has kind:start:end of all spans (code points, end exclusive), by start and then kind; base_sha256 is of
@@ -108,9 +109,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, owner: str = "source", rep
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
     each = each.withColumn("free", free).where(base | (F.col("free") & F.col("mixed"))).drop("free", "mixed")
     each = s.write(each, "spans")
-    held = each.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    held = s.write(held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "ownership")
-    known = each.join(held, "hash").select("row", "kind", "start", "end", (F.col("owners") >= widely).alias("example"), ((F.col("owners") < widely) & F.col("live")).alias("live"))
+    held = each.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
+    held = s.write(held.select("hash", ((F.col("owners") >= widely) | (F.col("repositories") >= many)).alias("example")), "ownership")
+    known = each.join(held, "hash").select("row", "kind", "start", "end", "example", (~F.col("example") & F.col("live")).alias("live"))
     known = known.where((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)
     text = F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string"))
@@ -148,8 +149,8 @@ c AS ({" UNION ALL ".join(parts)}),
 x AS (SELECT c.*, o, l, length(v) >= 16 AND len(list_distinct(string_split(v, ''))) >= 8 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{PLACEHOLDER}') AS live
       FROM c JOIN d USING (r) WHERE kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
       AND NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.kind < 3 AND b.s < c.e AND c.s < b.e))),
-h AS (SELECT v, count(DISTINCT o) AS owners FROM x GROUP BY v),
-k AS (SELECT x.*, owners >= {WIDELY} AS example, owners < {WIDELY} AND live AS own FROM x JOIN h USING (v) WHERE kind < 3 OR (owners < {WIDELY} AND live))
+h AS (SELECT v, count(DISTINCT o) >= {WIDELY} OR count(DISTINCT (o, l)) >= {MANY} AS example FROM x GROUP BY v),
+k AS (SELECT x.*, example, NOT example AND live AS own FROM x JOIN h USING (v) WHERE kind < 3 OR (NOT example AND live))
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
 sha256({listed.format(" FILTER (kind < 3)")}) AS base_sha256, {listed.format(" FILTER (kind IS NOT NULL)")} AS spans,
 count(*) FILTER (own) AS n_live, count(*) FILTER (example) AS n_example FROM d LEFT JOIN k USING (r) GROUP BY r

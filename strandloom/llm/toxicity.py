@@ -52,10 +52,11 @@ AS_LETTER, AS_BOUNDARY, AT_EDGE, DROPPED, DOUBLED = 1.0, 3.0, 3.5, 2.0, 1.0
 OFTEN_LETTERS = "0123456789@$"
 EDGES = tuple(range(3, 7))
 #: Bytes of a worker's tables of chunks and of rows of fragments, and features counted before they are handed on.
-CHUNK_BYTES, ROW_BYTES, COUNTED = 24 << 20, 4 << 20, 100_000
+CHUNK_BYTES, ROW_BYTES, COUNTED = 64 << 20, 4 << 20, 100_000
 #: Steps of a decoding after which what all readings have in common is settled.
 SETTLE = 1024
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
+_TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _FRAGMENTS = re.compile(b"\x01\x01+")
 #: Marks that a fragment may have around it.
 _MARKS = "!|<(+" + "".join(c for c in string.punctuation if c not in LOOKS)
@@ -205,12 +206,13 @@ class Channel:
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk between white space; decoded if it has signs within, or letters repeated three times."""
         core = within_marks(chunk.lower())
-        letters = sum(map(str.isalpha, core))
-        if not letters:
+        if core.isalpha():
+            if not _TRIPLE.search(core):
+                return [core]
+        elif not any(map(str.isalpha, core)):
             looks = [c for c in core if c in LOOKS]
-            return self.decode(self.lattice(core)).split() if len(looks) >= ALL_LOOKS and len(set(looks)) > 1 else []
-        if letters == len(core) and not any(x == y == z for x, y, z in zip(core, core[1:], core[2:], strict=False)):
-            return [core]
+            if len(looks) < ALL_LOOKS or len(set(looks)) < 2:
+                return []
         return self.decode(self.lattice(core)).split()
 
     def readings(self, chunk: str) -> list[str]:
@@ -242,6 +244,8 @@ def with_single_letters(words: list[str]) -> list[str]:
 def within_marks(chunk: str) -> str:
     """A chunk without the marks at its ends that aren't look-alikes."""
     a, b = 0, len(chunk)
+    if b and chunk[0].isalnum() and chunk[-1].isalnum():
+        return chunk
     while a < b and not chunk[a].isalnum() and chunk[a] not in LOOKS:
         a += 1
     while b > a and not chunk[b - 1].isalnum() and chunk[b - 1] not in LOOKS:
@@ -272,17 +276,26 @@ def features(word: str) -> list[str]:
 class Scorer:
     def __init__(self, channel: Channel, weights: dict[str, float], logistic: np.ndarray | None = None):
         self.channel, self.weights, self.logistic = channel, weights, logistic
+        # By kind of feature: whole words, beginnings, endings.
+        self.whole = {f[1:-1]: w for f, w in weights.items() if f[0] == "^" and f[-1] == "$"}
+        self.first = {f[1:]: w for f, w in weights.items() if f[-1] != "$"}
+        self.last = {f[:-1]: w for f, w in weights.items() if f[0] != "^"}
         self.of = Kept(self._chunk, CHUNK_BYTES)
         self.row = Kept(lambda run: self.weight(channel.row_readings(run)), ROW_BYTES)
 
     def weight(self, words: list[str]) -> tuple[float, float] | None:
         """The largest weight of a whole word, and of a beginning or an ending; None for nothing of weight."""
-        get, whole, part = self.weights.get, 0.0, 0.0
+        get, first, last, whole, part = self.whole.get, self.first.get, self.last.get, 0.0, 0.0
         for w in words:
-            first, *rest = features(w)
-            whole = max(whole, get(first, 0.0))
-            for f in rest:
-                part = max(part, get(f, 0.0))
+            if (x := get(w, 0.0)) > whole:
+                whole = x
+            for k in EDGES:
+                if k >= len(w):
+                    break
+                if (x := first(w[:k], 0.0)) > part:
+                    part = x
+                if (x := last(w[-k:], 0.0)) > part:
+                    part = x
         return (whole, part) if whole or part else None
 
     def _chunk(self, chunk: str) -> tuple[float, float] | None:

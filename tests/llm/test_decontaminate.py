@@ -4,6 +4,7 @@ import re
 import pytest
 from helpers import HARD, clashing, docs, words
 
+from strandloom.llm import common
 from strandloom.llm import decontaminate as op
 
 
@@ -48,7 +49,7 @@ def cases():
 
 @pytest.mark.parametrize("broadcast", [1_000_000, 3])
 def test_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(op, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     rows, items = cases()
     want = brute(rows, items)
     assert len(want) > 40 and any(x[4] < 1 for x in want)

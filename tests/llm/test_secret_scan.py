@@ -79,3 +79,17 @@ def test_same_value_counts_once_for_an_owner(spark):
     for r in op.secret_scan(spark, d).collect():
         seen[r.n_live, r.n_example] += 1
     assert seen == {(1, 0): 50}
+
+
+def test_many_repositories_of_few_owners_are_widely_copied(spark):
+    """Repositories are counted over all owners, each once."""
+    value = "token=Zk3jQ9xLw7RtUvB2mN5p"
+
+    def seen(rows, **options):
+        d = spark.createDataFrame([(k, value, r, o) for k, (o, r) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+        return {(r.n_live, r.n_example) for r in op.secret_scan(spark, d, **options).collect()}
+
+    assert seen([("one", f"r{k}") for k in range(op.MANY)]) == {(0, 1)}
+    assert seen([("one", f"r{k}") for k in range(op.MANY - 1)] * 3) == {(1, 0)}
+    assert seen([(f"o{k % 2}", f"r{k // 2}") for k in range(2 * op.MANY - 2)], repository=("lang",)) == {(1, 0)}
+    assert seen([(f"o{k % 2}", f"r{k // 2}") for k in range(2 * op.MANY)], repository=("lang",)) == {(0, 1)}
