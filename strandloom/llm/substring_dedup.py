@@ -3,24 +3,29 @@
 Rule: a window is WINDOW consecutive words of one document; a word goes if a window over it has a word sequence that
 also starts in a document with a smaller doc_id.
 
-Graph: edges are k-mers of EDGE words, one for each window, the least by hash of those in it (its minimizer).
-Neighbouring windows mostly have the same edge at the same place, and a maximal run of them is a path: the words
-around one edge that its windows cover.  Equal windows have equal edges, so documents can share a window only where
-they share an edge; a path is about twenty windows in one row.
-
-Compaction, in joins on the edge:
-* an edge of one document leads nowhere;
-* a shared edge with one path (nonbranching) is compact: its windows all first start in the path's least document;
-* a shared edge with several paths (branching) is opened: only paths' first documents are read again, and give
-  their windows one by one, which meet by edge and window.
-A path in a later document than its first goes whole; in its first document go those windows that an earlier path
-also has.  Edges are hashed by a rolling polynomial, paths and windows by XXH3 of their own words at the source's
-coordinates, so a match needs both the edge's 64 bits and those of the whole span; the result joins spans on the
-coordinates (document, word) into maximal ones.
+Graph: every window of WINDOW words is an edge of the De Bruijn graph of words, from its first WINDOW - 1 words to its
+last.  Edges are dealt by their minimizer, the k-mer of EDGE words in them that is least by hash; neighbouring windows
+mostly have the same one at the same place, so a maximal run of them, a path, is one row (about twenty windows).
+Equal windows have equal minimizers, so documents can share a window only where they share a minimizer.
+
+Compaction, in Spark joins and aggregates:
+* a minimizer of one document leads nowhere, and its paths end there;
+* a repeated path takes the coordinates (document, word) of its first occurrence as its source.  Where one path always
+  goes on into the next and that one always comes from it (out-degree and in-degree 1) and both are neighbours in
+  their source, they are one unitig, named by the coordinates at which it starts;
+* occurrences of paths are joined to their unitigs, and neighbours of one unitig in a document become one span;
+* a minimizer with several paths (branching) is opened: only paths' first documents are read again, and give their
+  windows one by one, which meet by minimizer and window.
+A path in a later document than its source goes whole; in its first document go those windows that an earlier path
+also has.
+
+Verification: every span has source coordinates.  The words there and the words of the span are read again and
+compared by SHA-256 before anything is removed.  Paths and windows are named by 64 bits of XXH3; if a span differs
+from its source, two names collided, and everything is done again with SHA-256 as names.
 
 How it runs: sides of joins that may have hot keys are written first, so that adaptive execution can split them;
 counts and minima are combined on the map side; documents' texts are shuffled only when the spans to bring to them
-are too many to broadcast, by count.
+are too many bytes to broadcast.
 """
 
 from __future__ import annotations
@@ -30,17 +35,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, text_rows
+from .common import BROADCAST_BYTES, Scratch, as_bytes, broadcast_if_small, text_rows
 
 WINDOW = 50
 EDGE = 12
-#: Rows of two longs up to which a counted side is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a span in a list of spans, for the bound on broadcasts.
+SPAN_BYTES = 64
 #: Bytes of text that are hashed at a time.
-AT_A_TIME = 1 << 21
+AT_A_TIME = 1 << 19
 
 # Multipliers of the rolling hashes and random values for the bytes, from a fixed seed.
 _RANDOM = np.random.Generator(np.random.PCG64(20_241))
@@ -61,9 +66,13 @@ class _Rolling:
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values) + 1
-        if base not in self.tables or len(self.tables[base][0]) < n:
-            self.tables[base] = _powers(base, 2 * n), _powers(pow(base, -1, 1 << 64), 2 * n)
-        power, self.back = self.tables[base]
+        known = self.tables.get(base)
+        if known is None or len(known[0]) < n:
+            size = max(n, 2 * AT_A_TIME)
+            known = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+            if size == 2 * AT_A_TIME:  # those of longer texts go with them
+                self.tables[base] = known
+        power, self.back = known
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(values * power[: n - 1])))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,11 +123,17 @@ class Words:
         cut = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
         return text[cut], start[cut], np.diff(np.append(cut, total)), edges[least[cut]]
 
-    def hash(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """XXH3 of n words from each start."""
-        h, raw = xxhash.xxh3_64_intdigest, self.bytes
+    def raw(self, start: np.ndarray, n: np.ndarray):
+        """The bytes of n words from each start, with one space between words."""
         a, b = self.starts[start].tolist(), self.ends[start + n - 1].tolist()
-        return np.array([h(raw[x:y]) for x, y in zip(a, b, strict=True)], np.uint64).view(np.int64)
+        return (self.bytes[x:y] for x, y in zip(a, b, strict=True))
+
+    def names(self, start: np.ndarray, n: np.ndarray, bits: int) -> pa.Array:
+        """Names of n words from each start: XXH3 cut to `bits` bits, or, for 256, SHA-256."""
+        if bits == 256:
+            return pa.array([hashlib.sha256(x).digest() for x in self.raw(start, n)], pa.binary())
+        h = np.array([xxhash.xxh3_64_intdigest(x) for x in self.raw(start, n)], np.uint64)
+        return pa.array((h >> np.uint64(64 - bits)).view(np.int64))
 
 
 def _portions(batches):
@@ -132,49 +147,21 @@ def _portions(batches):
             yield [c[k[0] : k[-1] + 1] for c in columns]
 
 
-def _longs(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns.values()], list(columns))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str, weight: int, most: int) -> DataFrame:
-    """docs with the column spans of their (doc_id, content); weight: rows of spans in all, which decides the join."""
+def _with_spans(docs: DataFrame, spans: DataFrame, how: str, size: int, most: int) -> DataFrame:
+    """docs with the column spans of their (doc_id, content); size: bytes of spans in all, which decides the join."""
     s = spans.select(F.col("doc_id").alias("s_id"), F.col("content").alias("s_content"), "spans")
-    if weight <= most:
+    if size <= most:
         s = F.broadcast(s)
     return docs.join(s, (F.col("doc_id") == F.col("s_id")) & (F.col("content") == F.col("s_content")), how).drop("s_id", "s_content")
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_rows: int = BROADCAST_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, content, start, end): maximal spans of words that earlier documents have, by rows' place in the text.
-
-    `docs` has doc_id, text and content, which tells apart texts of one doc_id.
-    """
-    s = scratch or Scratch(spark, "substrings")
-
-    def cut(batches):
-        for doc_id, texts, content in _portions(batches):
-            w = Words(texts)
-            text, start, n, least = w.paths(window, edge)
-            if len(text):
-                yield _longs(edge=least.view(np.int64), doc_id=np.array(doc_id)[text], content=np.array(content)[text], start=start - w.first[text], n=n, path=w.hash(start, n + window - 1))
-
-    long = "edge long, doc_id long, content long, start long, n long, path long"
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "content")
-    paths = s.write(known.mapInArrow(cut, long).select("edge", "doc_id", "content", F.col("start").cast("int").alias("start"), F.col("n").cast("short").alias("n"), "path"), "paths")
-    shared = paths.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("path").alias("low"), F.max("path").alias("high")).where("first != last")
-    shared = s.write(shared.select("edge", "first", (F.col("low") != F.col("high")).alias("branching")), "shared-edges")
-    found = s.write(paths.join(shared, "edge"), "shared-paths")
-    s.drop("paths")
-
-    whole = F.col("start").alias("start"), (F.col("start") + F.col("n") + (window - 1)).alias("end")
-    compact = found.where("NOT branching AND doc_id > first").select("doc_id", "content", *whole)
-    branching = found.where("branching").drop("first")
-    firsts = s.write(branching.groupBy("edge", "path").agg(F.min("doc_id").alias("first")), "first-documents")
-    branching = s.write(branching.join(firsts, ["edge", "path"]).select("edge", "doc_id", "content", "start", "n", "first"), "branching")
-    later = branching.where("doc_id > first").select("doc_id", "content", *whole)
-
-    opened = branching.where("doc_id = first")
-    size = opened.count()
+def _found_windows(known: DataFrame, opened: DataFrame, s: Scratch, window: int, bits: int, most: int) -> DataFrame:
+    """(doc_id, content, start, n, src_*): windows of opened paths (one row each) that start in an earlier one, too."""
+    size = opened.count() * SPAN_BYTES
     to_open = s.write(opened.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "edge")).alias("spans")), "to-open")
 
     def open_up(batches):
@@ -183,43 +170,128 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, e
             rows = [(k, x["start"] + w.first[k], x["n"], x["edge"]) for k, xs in enumerate(spans) for x in xs]
             k, start, n, least = (np.array(c, np.int64) for c in zip(*rows, strict=True))
             k, least, at = np.repeat(k, n), np.repeat(least, n), np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield _longs(edge=least, words=w.hash(at, np.full(len(at), window)), doc_id=np.array(doc_id)[k], content=np.array(content)[k], start=at - w.first[k])
+            yield _batch(edge=least, words=w.names(at, np.full(len(at), window), bits), doc_id=np.array(doc_id)[k], content=np.array(content)[k], start=at - w.first[k])
 
-    windows = _with_spans(known, to_open, "inner", size, broadcast_rows).mapInArrow(open_up, "edge long, words long, doc_id long, content long, start long")
+    windows = _with_spans(known, to_open, "inner", size, most).mapInArrow(open_up, f"edge long, words {_kind(bits)}, doc_id long, content long, start long")
     windows = s.write(windows, "windows")
-    least = windows.groupBy("edge", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
+    least = windows.groupBy("edge", "words").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc != last").drop("last")
     least = s.write(least, "shared-windows")
-    again = windows.join(least, ["edge", "words"]).where("doc_id > first").select("doc_id", "content", F.col("start").cast("int").alias("start"), (F.col("start") + window).cast("int").alias("end"))
+    met = s.write(windows.join(least, ["edge", "words"]), "met-windows")
+    s.drop("windows")
+    source = met.where("doc_id = src_doc").groupBy("edge", "words").agg(F.min(F.struct("content", "start")).alias("x"))
+    source = s.write(source.select("edge", "words", F.col("x.content").alias("src_content"), F.col("x.start").alias("src_start")), "sources-of-windows")
+    return met.where("doc_id > src_doc").join(source, ["edge", "words"]).select("doc_id", "content", "start", F.lit(1).cast("long").alias("n"), "src_doc", "src_content", "src_start", F.lit(-1).cast("long").alias("unitig"))
 
-    # Spans that overlap or touch become one, in the row of their document.
-    each = compact.unionByName(later).unionByName(again)
-    lists = each.groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x"))
 
-    def join_up(batches):
-        for batch in batches:
-            doc, text, starts, ends = [], [], [], []
-            for doc_id, content, xs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.array([x[k] for x in xs], np.int64) for k in ("start", "end"))
-                reach = np.maximum.accumulate(b)
-                new = np.concatenate(([True], a[1:] > reach[:-1]))
-                starts += a[new].tolist()
-                ends += reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)].tolist()
-                doc += [doc_id] * int(new.sum())
-                text += [content] * int(new.sum())
-            if doc:
-                yield _longs(doc_id=doc, content=text, start=starts, end=ends)
+def _kind(bits: int) -> str:
+    return "binary" if bits == 256 else "long"
 
-    return s.write(lists.mapInArrow(join_up, "doc_id long, content long, start long, end long"), "spans")
 
+def _claimed(spark: SparkSession, known: DataFrame, s: Scratch, window: int, edge: int, bits: int, most: int) -> DataFrame:
+    """(doc_id, content, start, end, src_doc, src_content, src_start): spans and where earlier documents have them."""
+    kind = _kind(bits)
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, content; content tells texts of one doc_id apart, and is 0 everywhere if no doc_id repeats."""
-    d = text_rows(docs)
-    repeated = not d.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return d.withColumn("content", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    def cut(batches):
+        for doc_id, texts, content in _portions(batches):
+            w = Words(texts)
+            text, start, n, least = w.paths(window, edge)
+            if len(text):
+                names = w.names(start, n + window - 1, bits)
+                # What comes before and after within the text, or null.
+                at, along = np.arange(len(text)), text[1:] == text[:-1]
+                before = names.take(pa.array(at - 1, mask=~np.append(False, along)))
+                after = names.take(pa.array(at + 1, mask=~np.append(along, False)))
+                yield _batch(edge=least.view(np.int64), doc_id=np.array(doc_id)[text], content=np.array(content)[text], start=start - w.first[text], n=n, path=names, before=before, after=after)
+
+    paths = known.mapInArrow(cut, f"edge long, doc_id long, content long, start long, n long, path {kind}, before {kind}, after {kind}")
+    paths = s.write(paths.withColumn("start", F.col("start").cast("int")).withColumn("n", F.col("n").cast("short")), "paths")
+    shared = paths.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("path").alias("low"), F.max("path").alias("high")).where("first != last")
+    shared = s.write(shared.select("edge", (F.col("low") != F.col("high")).alias("branching")), "shared-edges")
+    found = s.write(paths.join(shared, "edge"), "shared-paths")
+    s.drop("paths")
+
+    one = lambda c: F.min(c).eqNullSafe(F.max(c))
+    nodes = found.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "content", "start")).alias("src"), F.max("doc_id").alias("last"), F.max("n").alias("n"), one("before").alias("one_before"), one("after").alias("one_after"))
+    nodes = nodes.where("last > src.doc_id").select("edge", "path", F.col("src.doc_id").alias("src_doc"), F.col("src.content").alias("src_content"), F.col("src.start").cast("long").alias("src_start"), "n", "one_before", "one_after")
+    along = Window.partitionBy("src_doc", "src_content").orderBy("src_start")
+    glued = F.col("one_before") & F.lag("one_after").over(along) & (F.lag(F.col("src_start") + F.col("n")).over(along) == F.col("src_start"))
+    nodes = nodes.withColumn("begins", F.when(~F.coalesce(glued, F.lit(False)), F.col("src_start")))
+    unitigs = s.write(nodes.withColumn("unitig", F.max("begins").over(along)).select("edge", "path", "src_doc", "src_content", "src_start", "unitig"), "unitigs")
+
+    occurrences = s.write(found.join(unitigs, ["edge", "path"], "left").select("edge", "doc_id", "content", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), "branching", "src_doc", "src_content", "src_start", "unitig"), "occurrences")
+    s.drop("shared-paths")
+    opened = occurrences.where("branching AND (src_doc IS NULL OR doc_id = src_doc)").select("edge", "doc_id", "content", "start", "n")
+    again = _found_windows(known, opened, s, window, bits, most)
+    each = occurrences.where("doc_id > src_doc").select("doc_id", "content", "start", "n", "src_doc", "src_content", "src_start", "unitig").unionByName(again)
+
+    # Neighbours of one unitig in a document are one span.
+    here = Window.partitionBy("doc_id", "content").orderBy("start")
+    same = [F.lag(c).over(here) == F.col(c) for c in ("src_doc", "src_content", "unitig")]
+    same += [F.lag(F.col(c) + F.col("n")).over(here) == F.col(c) for c in ("start", "src_start")]
+    goes_on = F.coalesce(same[0] & same[1] & same[2] & same[3] & same[4], F.lit(False))
+    runs = each.withColumn("begins", F.when(~goes_on, F.col("start"))).withColumn("run", F.max("begins").over(here))
+    spans = runs.groupBy("doc_id", "content", "run").agg((F.max(F.col("start") + F.col("n")) + (window - 1)).alias("end"), F.min("src_doc").alias("src_doc"), F.min("src_content").alias("src_content"), F.min("src_start").alias("src_start"))
+    return s.write(spans.withColumnRenamed("run", "start"), "claimed")
+
+
+def _verified(known: DataFrame, claimed: DataFrame, s: Scratch, most: int) -> DataFrame:
+    """(doc_id, content, start, end, ok): spans joined up, and whether the words of all are those at their sources."""
+    source = claimed.select("src_doc", "src_content", "src_start", (F.col("end") - F.col("start")).alias("n")).distinct()
+    source = s.write(source, "sources")
+    lists = source.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_content").alias("content")).agg(F.collect_list(F.struct(F.col("src_start").alias("start"), "n")).alias("spans"))
+
+    def read(batches):
+        for doc_id, texts, content, spans in _portions(batches):
+            w = Words(texts)
+            k, start, n = (np.array(c, np.int64) for c in zip(*((k, x["start"], x["n"]) for k, xs in enumerate(spans) for x in xs), strict=True))
+            yield _batch(src_doc=np.array(doc_id)[k], src_content=np.array(content)[k], src_start=start, n=n, words=w.names(start + w.first[k], n, 256))
+
+    read_ = _with_spans(known, lists, "inner", source.count() * SPAN_BYTES, most).mapInArrow(read, "src_doc long, src_content long, src_start long, n long, words binary")
+    read_ = s.write(read_, "words-of-sources")
+    keyed = claimed.withColumn("n", F.col("end") - F.col("start")).join(broadcast_if_small(read_, most), ["src_doc", "src_content", "src_start", "n"], "left")
+    lists = s.write(keyed.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans")), "to-verify")
 
+    def compare(batches):
+        for doc_id, texts, content, spans in _portions(batches):
+            w = Words(texts)
+            out: list[list] = [[] for _ in range(5)]
+            for k, xs in enumerate(spans):
+                xs = sorted(xs, key=lambda x: x["start"])
+                start, n = (np.array([x[c] for x in xs], np.int64) for c in ("start", "n"))
+                own = w.names(start + w.first[k], n, 256).to_pylist()
+                ok = all(x["words"] == words for x, words in zip(xs, own, strict=True))
+                reach = np.maximum.accumulate(start + n)
+                new = np.append(True, start[1:] > reach[:-1])  # spans that overlap or touch become one
+                begins, ends = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
+                for column, value in zip(out, ([doc_id[k]] * len(begins), [content[k]] * len(begins), begins.tolist(), ends.tolist(), [ok] * len(begins)), strict=True):
+                    column += value
+            yield _batch(doc_id=out[0], content=out[1], start=out[2], end=out[3], ok=pa.array(out[4], pa.bool_()))
+
+    spans = _with_spans(known, lists, "inner", claimed.count() * SPAN_BYTES, most).mapInArrow(compare, "doc_id long, content long, start long, end long, ok boolean")
+    return s.write(spans, "verified")
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_bytes: int = BROADCAST_BYTES, bits: int = 64, repeats: bool = True) -> DataFrame:
+    """(doc_id, content, start, end): maximal spans of words that earlier documents have, by rows' place in the text.
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    `docs` has doc_id, text and content, which tells apart texts of one doc_id; `repeats` says that a row may stand
+    there more than once.  `bits` are those of the first names of paths: fewer only make it likelier that the work is
+    done twice.
+    """
+    s = Scratch(spark, "substrings")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "content")
+    if repeats:
+        known = known.dropDuplicates(["doc_id", "content"])
+    spans = _verified(known, _claimed(spark, known, s, window, edge, bits, broadcast_bytes), s, broadcast_bytes)
+    if spans.where("NOT ok").isEmpty():
+        return spans.drop("ok")
+    if bits == 256:
+        raise RuntimeError("spans differ from their sources")
+    s.drop()
+    return repeated_spans(spark, docs, window, edge, broadcast_bytes, 256, repeats)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_bytes: int = BROADCAST_BYTES, bits: int = 64) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Words are runs of anything but x20 and x09-x0D, unchanged; kept_text joins the kept ones by one space.  A null
@@ -227,12 +299,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     whole.  Rows of one doc_id are one document for other rows, and don't remove each other's words; each gives its
     row.  An empty table gives none; other columns are not read.
     """
-    s = Scratch(spark, "substrings")
-    rows = _rows(docs)
-    spans = repeated_spans(spark, rows, window, edge, broadcast_rows, s)
-    size = spans.count()
-    of = s.write(spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans-of")
-    joined = _with_spans(rows, of, "left", size, broadcast_rows).select("doc_id", "text", "spans")
+    rows = text_rows(docs)
+    repeats = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("content", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
+    spans = repeated_spans(spark, rows, window, edge, broadcast_bytes, bits, repeats)
+    size = spans.count() * SPAN_BYTES
+    of = Scratch(spark, "substrings").write(spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans-of")
+    joined = _with_spans(rows, of, "left", size, broadcast_bytes).select("doc_id", "text", "spans")
 
     def keep(batches):
         for batch in batches:

@@ -74,6 +74,24 @@ def test_windows_on_the_edge_of_their_length(spark):
     assert (got[3].kept_text, got[4].kept_text, got[7].kept_text) == ("x", "y", "")
 
 
+@pytest.mark.parametrize("bits", [1, 8])
+def test_colliding_names_change_nothing(spark, bits):
+    """With so few bits most names stand for several texts; verification finds out and the result is the same."""
+    rows = cases(3, 60)
+    assert found(op.substring_dedup(spark, docs(spark, rows), bits=bits)) == brute(rows, 50)
+
+
+def test_unitigs_are_long_spans(spark):
+    """A passage that documents share as a whole is one claimed span, with the coordinates of its first document."""
+    p = words(400, 2, 10**6)
+    rows = [(k, f"{words(60, 10 + k, 10**6)} {p} {words(60, 50 + k, 10**6)}") for k in range(4)]
+    d = docs(spark, rows).selectExpr("doc_id", "text", "0L AS content")
+    got = op._claimed(spark, d, op.Scratch(spark, "t"), 50, 12, 64, 1 << 20).collect()
+    whole = [r for r in got if r.end - r.start > 300]
+    assert {(r.doc_id, r.src_doc) for r in whole} == {(1, 0), (2, 0), (3, 0)} and len(got) <= 9
+    assert all(r.start == r.src_start for r in got)
+
+
 def test_chain_of_overlapping_sources(spark):
     w = words(200, 9, 10**6).split()
     rows = [(1, " ".join(w[:100])), (2, " ".join(w[60:170])), (3, " ".join(w))]
