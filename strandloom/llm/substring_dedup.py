@@ -24,8 +24,8 @@ compared by SHA-256 before anything is removed.  Paths and windows are named by
 from its source, two names collided, and everything is done again with SHA-256 as names.
 
 How it runs: sides of joins that may have hot keys are written first, so that adaptive execution can split them;
-counts and minima are combined on the map side; documents' texts are shuffled only when the spans to bring to them
-are too many bytes to broadcast.
+counts and minima are combined on the map side.  Few spans are broadcast to their documents; otherwise texts are
+shuffled to them, but only those of documents that have any (told by a hash, up to KEY_BYTES of such hashes).
 """
 
 from __future__ import annotations
@@ -34,16 +34,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, as_bytes, broadcast_if_small, text_rows
+from .common import Scratch, as_bytes, broadcast_if_small, text_rows
 
 WINDOW = 50
 EDGE = 12
-#: Bytes of a span in a list of spans, for the bound on broadcasts.
-SPAN_BYTES = 64
+#: Bytes of a span in a list of spans, and of all lists up to which they are broadcast.
+SPAN_BYTES, BROADCAST_BYTES = 64, 4 << 20
+#: Bytes of the hashes of documents that have spans, up to which they tell whose texts are shuffled.
+KEY_BYTES = 64 << 20
 #: Bytes of text that are hashed at a time.
 AT_A_TIME = 1 << 19
 
@@ -139,12 +142,12 @@ class Words:
 def _portions(batches):
     """Rows of about AT_A_TIME bytes of text: lists of the columns, the second one bytes."""
     for batch in batches:
-        columns = [batch.column(0).to_pylist(), as_bytes(batch.column(1)), *[c.to_pylist() for c in batch.columns[2:]]]
-        size = np.cumsum([len(t) for t in columns[1]])
-        part = size // AT_A_TIME
-        for p in np.unique(part):
-            k = np.flatnonzero(part == p)
-            yield [c[k[0] : k[-1] + 1] for c in columns]
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(size // AT_A_TIME)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                part = batch.slice(a, b - a)
+                yield [part.column(0).to_pylist(), as_bytes(part.column(1)), *[c.to_pylist() for c in part.columns[2:]]]
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -153,10 +156,20 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str, size: int, most: int) -> DataFrame:
     """docs with the column spans of their (doc_id, content); size: bytes of spans in all, which decides the join."""
-    s = spans.select(F.col("doc_id").alias("s_id"), F.col("content").alias("s_content"), "spans")
+    of = spans.select(F.col("doc_id").alias("s_id"), F.col("content").alias("s_content"), "spans")
+    same = (F.col("doc_id") == F.col("s_id")) & (F.col("content") == F.col("s_content"))
     if size <= most:
-        s = F.broadcast(s)
-    return docs.join(s, (F.col("doc_id") == F.col("s_id")) & (F.col("content") == F.col("s_content")), how).drop("s_id", "s_content")
+        return docs.join(F.broadcast(of), same, how).drop("s_id", "s_content")
+    keys = spans.select(F.xxhash64("doc_id", "content").alias("key"))
+    if keys.count() * 16 > KEY_BYTES:
+        return docs.join(of, same, how).drop("s_id", "s_content")
+    # A hash that stands for two documents only shuffles one text more.
+    keyed, keys = docs.withColumn("key", F.xxhash64("doc_id", "content")), F.broadcast(keys)
+    some = keyed.join(keys, "key", "left_semi").drop("key").join(of, same, how).drop("s_id", "s_content")
+    if how == "inner":
+        return some
+    rest = keyed.join(keys, "key", "left_anti").drop("key")
+    return some.unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def _found_windows(known: DataFrame, opened: DataFrame, s: Scratch, window: int, bits: int, most: int) -> DataFrame:
@@ -234,8 +247,8 @@ def _claimed(spark: SparkSession, known: DataFrame, s: Scratch, window: int, edg
     return s.write(spans.withColumnRenamed("run", "start"), "claimed")
 
 
-def _verified(known: DataFrame, claimed: DataFrame, s: Scratch, most: int) -> DataFrame:
-    """(doc_id, content, start, end, ok): spans joined up, and whether the words of all are those at their sources."""
+def _sources(known: DataFrame, claimed: DataFrame, s: Scratch, most: int) -> DataFrame:
+    """(doc_id, content, spans): each document's spans with the SHA-256 of the words at their sources."""
     source = claimed.select("src_doc", "src_content", "src_start", (F.col("end") - F.col("start")).alias("n")).distinct()
     source = s.write(source, "sources")
     lists = source.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_content").alias("content")).agg(F.collect_list(F.struct(F.col("src_start").alias("start"), "n")).alias("spans"))
@@ -246,84 +259,67 @@ def _verified(known: DataFrame, claimed: DataFrame, s: Scratch, most: int) -> Da
             k, start, n = (np.array(c, np.int64) for c in zip(*((k, x["start"], x["n"]) for k, xs in enumerate(spans) for x in xs), strict=True))
             yield _batch(src_doc=np.array(doc_id)[k], src_content=np.array(content)[k], src_start=start, n=n, words=w.names(start + w.first[k], n, 256))
 
+    lists = s.write(lists, "to-read")
     read_ = _with_spans(known, lists, "inner", source.count() * SPAN_BYTES, most).mapInArrow(read, "src_doc long, src_content long, src_start long, n long, words binary")
     read_ = s.write(read_, "words-of-sources")
     keyed = claimed.withColumn("n", F.col("end") - F.col("start")).join(broadcast_if_small(read_, most), ["src_doc", "src_content", "src_start", "n"], "left")
-    lists = s.write(keyed.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans")), "to-verify")
-
-    def compare(batches):
-        for doc_id, texts, content, spans in _portions(batches):
-            w = Words(texts)
-            out: list[list] = [[] for _ in range(5)]
-            for k, xs in enumerate(spans):
-                xs = sorted(xs, key=lambda x: x["start"])
-                start, n = (np.array([x[c] for x in xs], np.int64) for c in ("start", "n"))
-                own = w.names(start + w.first[k], n, 256).to_pylist()
-                ok = all(x["words"] == words for x, words in zip(xs, own, strict=True))
-                reach = np.maximum.accumulate(start + n)
-                new = np.append(True, start[1:] > reach[:-1])  # spans that overlap or touch become one
-                begins, ends = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
-                for column, value in zip(out, ([doc_id[k]] * len(begins), [content[k]] * len(begins), begins.tolist(), ends.tolist(), [ok] * len(begins)), strict=True):
-                    column += value
-            yield _batch(doc_id=out[0], content=out[1], start=out[2], end=out[3], ok=pa.array(out[4], pa.bool_()))
-
-    spans = _with_spans(known, lists, "inner", claimed.count() * SPAN_BYTES, most).mapInArrow(compare, "doc_id long, content long, start long, end long, ok boolean")
-    return s.write(spans, "verified")
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_bytes: int = BROADCAST_BYTES, bits: int = 64, repeats: bool = True) -> DataFrame:
-    """(doc_id, content, start, end): maximal spans of words that earlier documents have, by rows' place in the text.
-
-    `docs` has doc_id, text and content, which tells apart texts of one doc_id; `repeats` says that a row may stand
-    there more than once.  `bits` are those of the first names of paths: fewer only make it likelier that the work is
-    done twice.
-    """
-    s = Scratch(spark, "substrings")
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "content")
-    if repeats:
-        known = known.dropDuplicates(["doc_id", "content"])
-    spans = _verified(known, _claimed(spark, known, s, window, edge, bits, broadcast_bytes), s, broadcast_bytes)
-    if spans.where("NOT ok").isEmpty():
-        return spans.drop("ok")
-    if bits == 256:
-        raise RuntimeError("spans differ from their sources")
-    s.drop()
-    return repeated_spans(spark, docs, window, edge, broadcast_bytes, 256, repeats)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_bytes: int = BROADCAST_BYTES, bits: int = 64) -> DataFrame:
+    return s.write(keyed.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans")), "spans")
+
+
+def _kept(doc_id: list, texts: list[bytes], spans: list[list | None], with_text: bool) -> pa.RecordBatch:
+    """Texts without their spans, and whether the words of all these are those at their sources."""
+    w = Words([t if xs else b"" for t, xs in zip(texts, spans, strict=True)])
+    out: list[list] = [[] for _ in range(6)]
+    for k, (i, xs) in enumerate(zip(doc_id, spans, strict=True)):
+        words, kept, at, ok = texts[k].split(), [], 0, True
+        if xs:
+            xs = sorted(xs, key=lambda x: x["start"])
+            start, n = (np.array([x[c] for x in xs], np.int64) for c in ("start", "n"))
+            ok = [x["words"] for x in xs] == w.names(start + w.first[k], n, 256).to_pylist()
+            for a, b in zip(start.tolist(), (start + n).tolist(), strict=True):  # spans may overlap
+                kept += words[at:a]
+                at = max(at, b)
+        kept += words[at:]
+        left = b" ".join(kept)
+        for column, value in zip(out, (i, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None, ok), strict=True):
+            column.append(value)
+    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "ok": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds.values(), strict=True)], list(kinds))
+
+
+def substring_dedup(
+    spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, broadcast_bytes: int = BROADCAST_BYTES, bits: int = 64, with_text: bool = True
+) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
-    Words are runs of anything but x20 and x09-x0D, unchanged; kept_text joins the kept ones by one space.  A null
-    or empty text has no words.  A null doc_id is not smaller than any and nothing is smaller than it, so its row is
-    whole.  Rows of one doc_id are one document for other rows, and don't remove each other's words; each gives its
-    row.  An empty table gives none; other columns are not read.
+    Words are runs of anything but x20 and x09-x0D, unchanged; kept_text joins the kept ones by one space (null
+    where `with_text` is off).  A null or empty text has no words.  A null doc_id is not smaller than any and nothing
+    is smaller than it, so its row is whole.  Rows of one doc_id are one document for other rows, and don't remove
+    each other's words; each gives its row.  An empty table gives none; other columns are not read.  `bits` are those
+    of the first names of paths: fewer only make it likelier that the work is done twice.
     """
+    s = Scratch(spark, "substrings")
     rows = text_rows(docs)
     repeats = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = rows.withColumn("content", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
-    spans = repeated_spans(spark, rows, window, edge, broadcast_bytes, bits, repeats)
-    size = spans.count() * SPAN_BYTES
-    of = Scratch(spark, "substrings").write(spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans-of")
-    joined = _with_spans(rows, of, "left", size, broadcast_bytes).select("doc_id", "text", "spans")
+    known = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "content")
+    if repeats:
+        known = known.dropDuplicates(["doc_id", "content"])
+    claimed = _claimed(spark, known, s, window, edge, bits, broadcast_bytes)
+    spans = _sources(known, claimed, s, broadcast_bytes)
 
     def keep(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                kept, at, gone = [], 0, []
-                for x in sorted(spans or [], key=lambda x: x["start"]):
-                    kept += words[at : x["start"]]
-                    at = x["end"]
-                    gone.append((x["start"], x["end"]))
-                kept += words[at:]
-                left = b" ".join(kept)
-                for column, value in zip(out, (doc_id, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3]), pa.array(out[4])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        for doc_id, texts, spans in _portions(batches):
+            yield _kept(doc_id, texts, spans, with_text)
+
+    joined = _with_spans(rows, spans, "left", claimed.count() * SPAN_BYTES, broadcast_bytes).select("doc_id", "text", "spans")
+    kept = s.write(joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, ok boolean"), "kept")
+    if kept.where("NOT ok").isEmpty():
+        return kept.drop("ok")
+    if bits == 256:
+        raise RuntimeError("spans differ from their sources")
+    s.drop()
+    return substring_dedup(spark, docs, window, edge, broadcast_bytes, 256, with_text)
 
 
 QUERY = "op3_substring_dedup"
@@ -340,4 +336,4 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return substring_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept_text")
