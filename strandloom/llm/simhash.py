@@ -10,9 +10,11 @@ keeps the mask and the pattern of the bits that all its members share.  Pairs of
 differing bits of two patterns under both masks are differences that every pair of members has, so a pair of groups
 with more than three is dropped whole, and a pair whose members can differ in three bits at most is linked whole.
 
-Hot buckets: one with more than SEGMENT distinct fingerprints is dealt into s segments by a hash, and each pair of
-segments becomes a task of its own, so all pairs of the bucket still meet, in tasks of at most 2 * SEGMENT rows.
-A task returns links that keep its components (fewer than it has rows), not its pairs.
+Hot buckets: the bits that members of a bucket needn't share are cut into twice as many fields as may differ, and a
+bucket with more than SEGMENT distinct fingerprints is dealt again by each choice of half of these fields, of which a
+pair must agree on one.  What is still hot then (fingerprints that share nearly all bits) is dealt into s segments by
+a hash, and each pair of segments is looked at on its own, so all pairs of the bucket still meet, in groups of at most
+2 * SEGMENT rows.  A group returns links that keep its components (fewer than it has rows), not its pairs.
 
 Components: alternating large-star and small-star steps over links between distinct fingerprints, each written to
 the scratch folder.  Nothing is collected to the driver but row counts.
@@ -20,7 +22,8 @@ the scratch folder.  Nothing is collected to the driver but row counts.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -86,6 +89,19 @@ def _tables(b: int, distance: int) -> list[int]:
     return [sum(field[k] for k in chosen) for chosen in combinations(range(b), b - distance)]
 
 
+def _finer(mask: int, distance: int) -> list[int]:
+    """The masks of a hot bucket's second dealing: `mask` with each choice of `distance` of 2 * distance fields of the other bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    n = 2 * distance
+    cuts = [round(len(free) * k / n) for k in range(n + 1)]
+    field = [sum(1 << i for i in free[cuts[k] : cuts[k + 1]]) for k in range(n)]
+    return [mask | sum(field[k] for k in chosen) for chosen in combinations(range(n), n - distance)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each bit pattern in Gray order."""
     x = x.copy()
@@ -179,24 +195,33 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = jump
 
 
+def _parted(keyed: DataFrame, scratch: Scratch, name: str, segment: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of buckets of at most `segment` rows, and those of hot ones with their count (None if there are none)."""
+    hot = scratch.write(keyed.groupBy("t", "bits").count().where(F.col("count") > segment), name)
+    if hot.isEmpty():
+        return keyed, None
+    return keyed.join(hot, ["t", "bits"], "left_anti"), scratch.write(keyed.join(hot, ["t", "bits"]), f"{name}-rows")
+
+
 def links(spark: SparkSession, fps: DataFrame, scratch: Scratch, distance: int = DISTANCE, segment: int = SEGMENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp, no repeats) that give their components."""
     masks = _tables(fields_for(fps.count(), distance, bucket_rows), distance)
-    bits = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(bits(m)) for m in masks])).alias("t", "bits"))
-    hot = scratch.write(keyed.groupBy("t", "bits").count().where(F.col("count") > segment), "hot")
-    cold = keyed
-    parts = []
-    if not hot.isEmpty():
-        cold = keyed.join(hot, ["t", "bits"], "left_anti")
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "bits"))
+    cold, hot = _parted(keyed, scratch, "hot", segment)
+    parts = [cold]
+    if hot is not None and distance:
+        finer = [(t, k, _signed(m)) for t, mask in enumerate(masks) for k, m in enumerate(_finer(mask, distance))]  # as many as choices of fields
+        finer = F.broadcast(spark.createDataFrame(finer, "t int, k int, mask long"))
+        dealt = hot.drop("count").join(finer, "t").select("fp", (F.lit(len(masks)) + F.col("t") * 1000 + F.col("k")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+        cold, hot = _parted(dealt, scratch, "hot-again", segment)
+        parts.append(cold)
+    rows = reduce(DataFrame.unionByName, parts).select("t", "bits", F.lit(-1).alias("part"), "fp")
+    if hot is not None:
         s = F.ceil(F.col("count") / segment).cast("int")
         seg = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
         # A row goes to every pair of segments that its own is part of.
         pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.least(o, F.col("seg")) * F.col("s") + F.greatest(o, F.col("seg"))))
-        parts = [keyed.join(hot, ["t", "bits"]).withColumn("s", s).withColumn("seg", seg).select("t", "bits", pair.alias("part"), "fp")]
-    rows = cold.select("t", "bits", F.lit(-1).alias("part"), "fp")
-    for p in parts:
-        rows = rows.unionByName(p)
+        rows = rows.unionByName(hot.withColumn("s", s).withColumn("seg", seg).select("t", "bits", pair.alias("part"), "fp"))
     rows = rows.select(F.xxhash64("t", "bits", "part").alias("deal"), "t", "bits", "part", "fp")
 
     def search(batches):
