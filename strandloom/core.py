@@ -10,6 +10,7 @@ a first value) is the header, a DataFrame with one row for each chunk.  Encoders
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -66,11 +67,14 @@ class Codec:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is made, as the context's checkpoint
-    folder, so that it is the same for the session's life.
+    Only where a session on one machine (master local) names none a temporary folder is made, as the context's
+    checkpoint folder, so that it is the same for the session's life.  A cluster that names none is an error: its
+    nodes don't share a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -57,3 +57,18 @@ def test_small_chunks_share_batches():
     assert [b.num_rows for b in core.in_batches(((k,) for k in range(25)), ["a"], [core.pa.int64()], 10)] == [10, 10, 5]
     out = list(core.in_arrays([(k, core.np.arange(k)) for k in range(6)], 5))
     assert [b.num_rows for b in out] == [6, 9] and out[0].column(0).to_pylist() == [1, 2, 2, 3, 3, 3]
+
+
+def test_a_cluster_must_name_its_scratch_folder():
+    from types import SimpleNamespace
+
+    from strandloom.core import scratch_dir
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    assert scratch_dir(session("spark://host:7077", "hdfs:///scratch/")) == "hdfs:///scratch"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(master))
