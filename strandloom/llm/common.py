@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +29,52 @@ def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
 
 
+#: Lists of scratch folders that a caller collects to delete them, the innermost last.
+_collecting: list[list[Scratch]] = []
+
+
 class Scratch:
     """Intermediate tables of one operator call: written with Spark's committer, so that they outlive any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+        for held in _collecting[-1:]:
+            held.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _folder(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str | None = None) -> None:
         """Delete a table that nothing reads any more; without a name, all of them."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._folder(f"{self.root}/{name}" if name else self.root)
+        fs.delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these, which a result still reads (a name that ends with * stands for all that begin so)."""
+        fs, root = self._folder(self.root)
+        if fs.exists(root):
+            for status in fs.listStatus(root):
+                name = status.getPath().getName()
+                if not any(fnmatchcase(name, n) for n in names):
+                    fs.delete(status.getPath(), True)
+
+
+@contextmanager
+def scratch_deleted(*but: Scratch):
+    """Scratch folders that are opened within are deleted at the end: for callers that have written the result."""
+    _collecting.append([])
+    try:
+        yield
+    finally:
+        for s in _collecting.pop():
+            if s not in but:
+                s.drop()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

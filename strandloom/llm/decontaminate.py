@@ -81,6 +81,7 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, cont
     had = had.select(F.col("doc_id").alias("h_id"), F.col("content").alias("h_content"), F.col("shingle").alias("h_shingle"))
     asked = of.select(F.col("item_id").alias("i_id"), "n_item", "shingle")
     wanted = s.write(pairs.join(broadcast_if_small(asked), F.col("item_id").eqNullSafe(F.col("i_id"))).drop("i_id"), "wanted")
+    s.keep_only("wanted", "had")
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("content") == F.col("h_content")) & (F.col("shingle") == F.col("h_shingle"))
     found = wanted.join(had, same).groupBy("doc_id", "content", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     found = found.where(F.col("n_shared") >= F.col("n_item") * F.lit(contained) - 1e-9).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))

@@ -115,6 +115,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, block: int) -> DataFrame:
     ids = identities(spark, docs, block, s)
     # Written, so that the join has an exchange on either side and the key of a hot group can be split.
     groups = s.write(ids.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    s.keep_only("places-*", "groups")
     return ids.join(groups, "identity").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -111,6 +111,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, owner: str = "source", rep
     each = s.write(each, "spans")
     held = each.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     held = s.write(held.select("hash", ((F.col("owners") >= widely) | (F.col("repositories") >= many)).alias("example")), "ownership")
+    s.keep_only("rows", "spans", "ownership")
     known = each.join(held, "hash").select("row", "kind", "start", "end", "example", (~F.col("example") & F.col("live")).alias("live"))
     known = known.where((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)

@@ -22,7 +22,6 @@ the scratch folder.  Nothing is collected to the driver but row counts.
 
 from __future__ import annotations
 
-from functools import reduce
 from functools import reduce
 from itertools import combinations
 
@@ -278,11 +277,14 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
 
     edges = scratch.write(edges.where("u > v"), "star-0")
-    before = state(edges)
+    before, last = state(edges), "star-0"
     for k in range(1, rounds + 1):
         if not before[0]:
             break
         edges = star(star(edges, f"{k}-large", True), f"{k}-small", False)
+        for name in (last, f"star-{k}-large", f"least-{k}-large", f"least-{k}-small"):
+            scratch.drop(name)
+        last = f"star-{k}-small"
         now = state(edges)
         if tuple(now) == tuple(before):
             break
@@ -306,6 +308,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, dista
     of = s.write(distinct.join(root.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = s.write(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     member = s.write(of.join(least, "root").select("fp", "component_id"), "members")
+    s.keep_only("fingerprints", "members")
     return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -315,6 +315,7 @@ def substring_dedup(
     joined = _with_spans(rows, spans, "left", claimed.count() * SPAN_BYTES, broadcast_bytes).select("doc_id", "text", "spans")
     kept = s.write(joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, ok boolean"), "kept")
     if kept.where("NOT ok").isEmpty():
+        s.keep_only("kept")
         return kept.drop("ok")
     if bits == 256:
         raise RuntimeError("spans differ from their sources")

@@ -400,6 +400,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     y = np.array([r.toxic for r in rows], float)
     got = {1: max(1.0, y.sum()), 0: max(1.0, (1 - y).sum())}
     share = {k: sizes.get(k, 0) / max(1, sum(sizes.values())) for k in (0, 1)}
+    s.drop()
     weights = np.array([share[r.toxic] * len(rows) / got[r.toxic] for r in rows])  # classes as they are among the labels
     scorer.logistic = _fit_logistic(np.array([r.x for r in rows]).reshape(-1, 4), y, weights)
     if not len(rows):  # nothing to learn from: everything is as likely as the labels say

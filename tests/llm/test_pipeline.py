@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 import test_bpe  # noqa: F401  the library's ids are held against the encoder's there
-from helpers import words
+from helpers import clashing, words
+from pyspark.sql import functions as F
 from test_decontaminate import brute as brute_items
 from test_exact_dedup import brute as brute_copies
 from test_simhash import brute as brute_groups
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
+from strandloom.core import scratch_dir  # noqa: E402
 from strandloom.llm import toxicity  # noqa: E402
 from strandloom.llm.bpe import vocabulary_path  # noqa: E402
 
@@ -64,6 +66,25 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
         assert stage(spark, docs, path).schema == docs.schema
 
 
+def test_run_on_hard_rows_with_clashing_columns(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties and columns named like the operators' own."""
+    rows, labels = corpus(200)
+    hard = [(None, None), (None, ""), (7000, None), (7001, "same words here"), (7001, "same words here"), (7002, "Same Words here"), (7003, words(60, 1)), (7003, words(60, 2)), (7004, "x " * 20_000)]
+    clashing(spark, rows + hard).withColumn("source", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels + [(None, None, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert got.count(7002) == 1 and 7001 not in got and got.count(7003) == 2 and got.count(7004) == 1
+
+
+def test_scratch_of_stages_is_deleted(spark, folder):
+    root = Path(scratch_dir(spark).removeprefix("file://")) / "strandloom"
+    before = set(root.iterdir()) if root.is_dir() else set()
+    corpus_pipeline.run(spark, folder[0]).count()
+    left = set(root.iterdir()) - before
+    assert len(left) == 1 and [p.name for p in left.pop().iterdir()] == [corpus_pipeline.STAGES[-2][0]]
+
+
 def test_stages_on_an_empty_table(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").where("false")
