@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from strandloom.llm.common import Scratch
+from strandloom.llm.common import Scratch, scratch_deleted
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written before the next reads them."""
+    """All stages on documents; each stage's rows are written before the next reads them.
+
+    A null text counts as empty and a null doc_id as an id of its own that no rule names.  Of rows that repeat a
+    document (one doc_id, one text) exact dedup keeps one; the other stages treat repeated rows alike.  An empty
+    table gives no rows.  Columns that the stages don't read, whatever their names, are carried to the last one.
+    What a stage wrote for itself is deleted once its rows are written, and its rows once the next stage's are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = Scratch(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = s.write(docs, name)
-    return docs
+    for (name, stage), before in zip(STAGES[:-1], [None, *(n for n, _ in STAGES)], strict=False):
+        with scratch_deleted():
+            docs = s.write(stage(spark, docs, sf_dir), name)
+        if before:
+            s.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
