@@ -5,7 +5,8 @@
     python -m strandloom decode  --frame frame --to out.parquet
     python -m strandloom inspect --frame frame
     python -m strandloom bench   --table in.parquet --value v --key k [--profile a,b]
-    python -m strandloom train   --table in.parquet --value v --key k --to graph.json
+    python -m strandloom dump    --frame frame --to folder
+    python -m strandloom train   --table in.parquet --value v,w --key k --to graph.json
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def _stream(spark: SparkSession, a: argparse.Namespace):
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("strandloom")
-    p.add_argument("command", choices=["profiles", "encode", "decode", "inspect", "bench", "train"])
+    p.add_argument("command", choices=["profiles", "encode", "decode", "inspect", "dump", "bench", "train"])
     for name in ("table", "value", "key", "frame", "to"):
         p.add_argument(f"--{name}")
     p.add_argument("--profile", default="automatic-integers")
@@ -43,7 +44,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "decode":
         graph.Frame.read(spark, a.frame).decode().write.mode("overwrite").parquet(a.to)
     elif a.command == "inspect":
-        print(json.dumps(graph.Frame.read(spark, a.frame).info(), indent=1))
+        frame = graph.Frame.read(spark, a.frame)
+        print(json.dumps(frame.info() | {"sizes": [r.asDict() for r in frame.sizes().collect()]}, indent=1))
+    elif a.command == "dump":
+        for r in graph.Frame.read(spark, a.frame).dump(a.to).collect():
+            print(json.dumps(r.asDict()))
     elif a.command == "bench":
         s = _stream(spark, a)
         rows = s.count()
@@ -52,8 +57,9 @@ def main(argv: list[str] | None = None) -> int:
             size = graph.size_of(graph.PROFILES[name], s).agg(F.sum("bytes")).first()[0]
             print(json.dumps({"profile": name, "rows": rows, "bytes": size, "ratio": round(rows * 8 / max(1, size or 0), 3), "seconds": round(time.perf_counter() - began, 3)}))
     else:
-        found = search.genetic_search(_stream(spark, a), generations=a.generations)
-        text = json.dumps([{"bytes": f[0], "nodes": f[1], "graph": g} for f, g in found])
+        table, chunk = spark.read.parquet(a.table), F.floor(F.col(a.key) / a.chunk)
+        found = search.train({k: stream(table, v, a.key, chunk) for k, v in enumerate(a.value.split(","))}, generations=a.generations)
+        text = json.dumps({"columns": a.value.split(","), "groups": found["groups"], "graphs": found["graphs"], "fronts": [{"bytes": f[0], "nodes": f[1], "graphs": x} for f, x in found["fronts"]]})
         spark.createDataFrame([(text,)], "v string").coalesce(1).write.mode("overwrite").text(a.to)
     return 0
 

@@ -900,6 +900,19 @@ def _(spark, d):
     return relational.asof_join(left, table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("o_orderkey", "o_custkey", "value")
 
 
+@query("asof_join_in_stretches", "SELECT o.o_orderkey, o.o_custkey, e.value FROM orders o ASOF LEFT JOIN (SELECT user_id, event_id, value FROM events) e ON o.o_custkey = e.user_id AND o.o_orderkey >= e.event_id")
+def _(spark, d):
+    left = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"))
+    return relational.asof_join(left, table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 500).select("o_orderkey", "o_custkey", "value")
+
+
+@query("interval_join_of_long_intervals", "SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON n_nationkey * 400 >= s_acctbal AND n_nationkey * 400 < s_acctbal + s_suppkey % 5 * 1000")
+def _(spark, d):
+    spans = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + F.col("s_suppkey") % 5 * 1000).alias("high"))
+    points = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 400).alias("at"))
+    return relational.interval_join(points, spans, "at", "low", "high", 50.0).select("n_nationkey", "s_suppkey")
+
+
 @query("interval_join", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 25")
 def _(spark, d):
     spans = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 25).alias("high"))
@@ -918,11 +931,16 @@ def _(spark, d):
     return table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k <= 10").select("o_orderpriority", "o_orderkey", "k")
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = table(spark, d, "orders").where("o_totalprice > 400000")
+    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("shared_keys", "SELECT c_custkey AS k FROM customer INTERSECT SELECT p_partkey FROM part")
 def _(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, d, "part").select("p_partkey"))
+
+
+from . import catalog_more  # noqa: E402,F401  the rest of the queries, which use what is above

@@ -181,15 +181,18 @@ def _low(x: Column) -> Column:
 
 
 def wrap_sub(a: Column, b: Column, width: int = 64) -> Column:
+    a, b = a.cast("long"), b.cast("long")  # shifts of narrower types wrap
     return narrow(_join_halves(F.shiftright(a, 32) - F.shiftright(b, 32), _low(a) - _low(b)), width)
 
 
 def wrap_add(a: Column, b: Column, width: int = 64) -> Column:
+    a, b = a.cast("long"), b.cast("long")
     return narrow(_join_halves(F.shiftright(a, 32) + F.shiftright(b, 32), _low(a) + _low(b)), width)
 
 
 def wrap_sum(x: Column, window: Window, width: int = 64) -> Column:
     """A running sum modulo 2 ** width; the halves' sums are exact for chunks under 2 ** 31 rows."""
+    x = x.cast("long")
     return narrow(_join_halves(F.sum(F.shiftright(x, 32)).over(window), F.sum(_low(x)).over(window)), width)
 
 

@@ -52,22 +52,27 @@ def moments(s: DataFrame) -> DataFrame:
     Variance is unbiased, skewness is of the population, kurtosis in excess of the normal; all 0 for one value.  A
     constant stream has no skewness or kurtosis (null).
     """
+    return s.groupBy("chunk_id").agg(*_moments())
+
+
+def _moments() -> list[Column]:
     v = F.col("v").cast("double")
     zero = lambda c: F.when(F.count("v") <= 1, F.lit(0.0)).otherwise(c)
-    return s.groupBy("chunk_id").agg(
+    return [
         F.count("v").alias("n"), F.avg(v).alias("mean"), zero(F.var_samp(v)).alias("variance"), zero(F.stddev_samp(v)).alias("stddev"),
         zero(F.skewness(v)).alias("skewness"), zero(F.kurtosis(v)).alias("kurtosis"),
-    )
+    ]
 
 
 def feature_vector(s: DataFrame, width: int = 64) -> DataFrame:
     """The eleven features of an integer stream, by chunk.
 
     n, width, cardinality (with its bounds, equal here because it is exact), range, mean, variance, stddev,
-    skewness and kurtosis.
+    skewness and kurtosis; all from one aggregate.
     """
-    spread = unsigned_range(s, width).select("chunk_id", wrap_sub(F.col("high"), F.col("low")).alias("range_size"))
-    out = moments(s).join(cardinality(s), "chunk_id").join(spread, "chunk_id")
+    u = unsigned(F.col("v"), width)
+    out = s.groupBy("chunk_id").agg(*_moments(), F.countDistinct("v").alias("cardinality"), F.min_by("v", u).alias("low"), F.max_by("v", u).alias("high"))
+    out = out.withColumn("range_size", wrap_sub(F.col("high"), F.col("low")))
     return out.select("chunk_id", "n", F.lit(width // 8).alias("width"), "cardinality", F.col("cardinality").alias("cardinality_low"), F.col("cardinality").alias("cardinality_high"), "range_size", "mean", "variance", "stddev", "skewness", "kurtosis")
 
 

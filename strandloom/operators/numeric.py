@@ -342,9 +342,10 @@ class TryParseInt(Codec):
     """Strings to numbers where canonical, the others as they are, and which is which."""
 
     name = "try_parse_int"
+    number = staticmethod(canonical_int)
 
     def encode(self, s: DataFrame) -> Encoded:
-        x = s.withColumn("n", canonical_int(F.col("v"))).withColumn("is_number", F.col("n").isNotNull())
+        x = s.withColumn("n", self.number(F.col("v"))).withColumn("is_number", F.col("n").isNotNull())
         at = (F.row_number().over(Window.partitionBy("chunk_id", "is_number").orderBy("pos")) - 1).cast("long")
         x = x.withColumn("at", at)
         return Encoded({
@@ -360,13 +361,41 @@ class TryParseInt(Codec):
         parts = parts.unionByName(enc["exceptions"].select("chunk_id", F.col("pos").alias("at"), "v", F.lit(1).alias("kind")))
         return which.join(parts, ["chunk_id", "at", "kind"]).select("chunk_id", "pos", "v")
 
-    @staticmethod
-    def route(s: DataFrame) -> DataFrame:
+    @classmethod
+    def route(cls, s: DataFrame) -> DataFrame:
         """chunk_id, choice: numbers, strings or mixed."""
-        ok = canonical_int(F.col("v")).isNotNull()
+        ok = cls.number(F.col("v")).isNotNull()
         return s.groupBy("chunk_id").agg(F.bool_and(ok).alias("all"), F.bool_or(ok).alias("any")).select("chunk_id", F.when(F.col("all"), "numbers").when(F.col("any"), "mixed").otherwise("strings").alias("choice"))
 
 
+def canonical_float(v: Column) -> Column:
+    """The number of a decimal string that is the shortest spelling of a 64-bit float, or null: it reads back as it was."""
+    x = v.try_cast("double")
+    return F.when(x.cast("string") == v, x)
+
+
+class ParseFloat(Codec):
+    """Canonical spellings of floats to numbers; a chunk with any other string can't be encoded."""
+
+    name = "parse_float"
+
+    def check(self, s: DataFrame) -> DataFrame:
+        return s.groupBy("chunk_id").agg(F.bool_and(canonical_float(F.col("v")).isNotNull()).alias("ok"))
+
+    def encode(self, s: DataFrame) -> Encoded:
+        return Encoded({"v": s.withColumn("v", canonical_float(F.col("v")))})
+
+    def decode(self, enc: Encoded) -> DataFrame:
+        return enc["v"].withColumn("v", F.col("v").cast("string"))
+
+
+class TryParseFloat(TryParseInt):
+    """Strings to floats where canonical, the others as they are, and which is which."""
+
+    name = "try_parse_float"
+    number = staticmethod(canonical_float)
+
+
 class YCoCg(Codec):
     """Red, green and blue to luma and two chroma differences, without loss: the lifted form of the transform."""
 

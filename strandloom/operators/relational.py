@@ -9,24 +9,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, width: float | None = None) -> DataFrame:
     """left with right's `value` of the last row at or before each row's `at`, within `by`; null where there is none.
 
-    One exchange: both sides in one ordered pass by key, carrying the last value on.
+    One exchange: both sides in one ordered pass by key, carrying the last value on.  With `width`, a key's rows are
+    cut into stretches of that much of `at`, so that a key with most of the rows is many tasks; each stretch starts
+    with the last value of those before it, of which there is one row each.
     """
     a = left.select("*", F.lit(1).alias("side"), F.lit(None).cast(right.schema[value].dataType).alias("found"))
     b = right.select(by, at, F.lit(0).alias("side"), F.col(value).alias("found"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("found", True).over(w)).where("side = 1").drop("side", "found")
+    keys = [by]
+    if width is not None:
+        both, keys = both.withColumn("stretch", F.floor(F.col(at) / width)), [by, "stretch"]
+    w = Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn(value, F.last("found", True).over(w)).where("side = 1").drop("side", "found")
+    if width is None:
+        return out
+    ends = right.where(F.col(value).isNotNull()).groupBy(by, F.floor(F.col(at) / width).alias("stretch")).agg(F.max_by(value, at).alias("carried"))
+    wanted = out.select(by, "stretch").distinct().withColumn("carried", F.lit(None).cast(right.schema[value].dataType)).withColumn("asked", F.lit(True))
+    before = Window.partitionBy(by).orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("asked", F.lit(False)).unionByName(wanted).withColumn("carried", F.last("carried", True).over(before)).where("asked").drop("asked")
+    carried = carried.select(F.col(by).alias("c_by"), F.col("stretch").alias("c_stretch"), "carried")
+    out = out.join(carried, F.col(by).eqNullSafe(F.col("c_by")) & F.col("stretch").eqNullSafe(F.col("c_stretch")), "left")
+    return out.withColumn(value, F.coalesce(value, "carried")).drop("c_by", "c_stretch", "carried", "stretch")
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with the intervals [start, end) that they fall in, by buckets of `width`.
+    """Points with the intervals [start, end) that they fall in, by buckets of `width` and of its doublings.
 
-    An interval stands in each bucket that it touches, a point in its own, so they meet by an ordinary equi-join.
+    An interval stands in the buckets, at most two, that it touches at the level whose buckets are as wide as it is; a
+    point in its own bucket of every level that has intervals (as many as lengths have powers of two).  They meet by
+    an ordinary equi-join, however long an interval is.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    touched = F.explode(F.sequence(bucket(start), F.greatest(bucket(start), F.ceil(F.col(end) / width) - 1)))
-    i = intervals.where(F.col(end) > F.col(start)).withColumn("bucket", touched)
-    return points.withColumn("bucket", bucket(at)).join(i, "bucket").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket")
+    i = intervals.where(F.col(end) > F.col(start))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)).cast("double") / width))).cast("int")
+    size = F.pow(F.lit(2.0), F.col("level")) * width
+    first, last = F.floor(F.col(start) / size), F.greatest(F.floor(F.col(start) / size), F.ceil(F.col(end) / size) - 1)
+    i = i.withColumn("level", level).withColumn("bucket", F.explode(F.sequence(first, last)))
+    levels = sorted(r.level for r in i.select("level").distinct().collect())
+    if not levels:
+        levels = [0]
+    p = points.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("bucket", F.floor(F.col(at) / size))
+    return p.join(i, ["level", "bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("level", "bucket")

@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import Codec, CodecError, Encoded
@@ -26,7 +26,7 @@ from ..operators.selectors import BoostedTrees
 
 CODECS: dict[str, Callable[..., Codec]] = {
     "store": backends.Store, "delta": numeric.Delta, "zigzag": numeric.ZigZag, "range_pack": numeric.RangePack, "divide_by": numeric.DivideBy, "float_deconstruct": numeric.FloatDeconstruct,
-    "merge_sorted": numeric.MergeSorted, "quantize": numeric.Quantize, "bitpack": numeric.BitPack, "parse_int": numeric.ParseInt, "try_parse_int": numeric.TryParseInt, "tokenize": dictionary.Tokenize,
+    "merge_sorted": numeric.MergeSorted, "quantize": numeric.Quantize, "bitpack": numeric.BitPack, "parse_int": numeric.ParseInt, "try_parse_int": numeric.TryParseInt, "parse_float": numeric.ParseFloat, "try_parse_float": numeric.TryParseFloat, "tokenize": dictionary.Tokenize,
     "constant": dictionary.Constant, "prefix": dictionary.Prefix, "flatpack": dictionary.FlatPack, "transpose_split": structure.TransposeSplit, "separate_strings": structure.SeparateStrings,
     "split": structure.SplitN, "records": structure.SerialToRecords, "numbers": structure.RecordsToNumbers, "split_by_struct": structure.SplitByStruct, "huffman": backends.Huffman, "fse": backends.Fse,
     "field_lz": backends.FieldLz, "zstd": backends.Zstd, "lz4": backends.Lz4, "entropy": backends.Entropy, "bytes_of": structure.NumbersToSerial,
@@ -96,6 +96,27 @@ class Frame:
         """What a frame has: its plan, and the streams with their types."""
         return {"plan": self.plan, "streams": {n: s.schema["v"].dataType.simpleString() for n, s in self.streams.items()}, "headers": {n: h.columns for n, h in self.headers.items()}}
 
+    def sizes(self) -> DataFrame:
+        """path, kind, type, n, bytes of every stream and header: rows, and what their values take as they are."""
+        out = None
+        for kind, tables in (("stream", self.streams), ("header", self.headers)):
+            for name, df in tables.items():
+                columns = [c for c in df.columns if c not in ("chunk_id", "pos")]
+                width = sum((_width(df, c) for c in columns), F.lit(0))
+                types = ",".join(df.schema[c].dataType.simpleString() for c in columns)
+                part = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("path"), F.lit(kind).alias("kind"), F.lit(types).alias("type"), "n", "bytes")
+                out = part if out is None else out.unionByName(part)
+        return out
+
+    def dump(self, path: str) -> DataFrame:
+        """Every stream and header as a table of its own below `path`, and an index of them with their sizes."""
+        for kind, tables in (("stream", self.streams), ("header", self.headers)):
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{path}/{kind}={_file(name)}")
+        index = self.sizes()
+        index.coalesce(1).write.mode("overwrite").json(f"{path}/index")
+        return index
+
     def decode(self) -> DataFrame:
         return _decode(self.plan, self, "")
 
@@ -114,20 +135,44 @@ class Frame:
         return mine.join(sums.withColumnsRenamed({"n": "n0", "checksum": "c0"}), "path", "full").where("n0 IS NULL OR n IS NULL OR n != n0 OR checksum != c0").select("path")
 
 
+def _width(df: DataFrame, column: str) -> Column:
+    """Bytes of a value: of text and binary their own, of numbers those of their type."""
+    fixed = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4}
+    kind = df.schema[column].dataType.typeName()
+    return F.coalesce(F.octet_length(column), F.lit(0)) if kind in ("string", "binary") else F.lit(fixed.get(kind, 8))
+
+
 def _file(name: str) -> str:
     return (name or "root").replace("/", "-")
 
 
-def encode(graph: dict, s: DataFrame) -> Frame:
-    """The stream through the graph, as lazy tables."""
+#: Called with (path, node, stream that enters it).
+Observer = Callable[[str, dict, DataFrame], None]
+
+
+def encode(graph: dict, s: DataFrame, observe: Observer | None = None) -> Frame:
+    """The stream through the graph, as lazy tables; `observe` sees what enters each node."""
     if missing := unknown_codecs(graph):
         raise CodecError(f"no codecs {sorted(missing)}")
     frame = Frame({}, {}, {})
-    frame.plan = _encode(graph, s, frame, "")
+    frame.plan = _encode(graph, s, frame, "", observe or (lambda path, node, s: None))
     return frame
 
 
-def _encode(graph: dict, s: DataFrame, frame: Frame, path: str) -> dict:
+def samples_at(graph: dict, s: DataFrame, name: str) -> list[DataFrame]:
+    """The streams that enter the nodes named `name`, in the order of the graph: what a search for the slot works on."""
+    found: list[DataFrame] = []
+
+    def observe(path: str, node: dict, s: DataFrame) -> None:
+        if node.get("name") == name:
+            found.append(s)
+
+    encode(graph, s, observe)
+    return found
+
+
+def _encode(graph: dict, s: DataFrame, frame: Frame, path: str, observe: Observer) -> dict:
+    observe(path, graph, s)
     if "codec" not in graph:
         nodes = graph["choose"] if "choose" in graph else list(graph["nodes"].values()) if "model" in graph else [graph["then"], graph["else"]]
         routes = _routes(graph, s)
@@ -135,7 +180,7 @@ def _encode(graph: dict, s: DataFrame, frame: Frame, path: str) -> dict:
         frame.headers[f"{path}/route"] = routes
         for k, inner in enumerate(nodes):
             mine = s.join(routes.where(F.col("way") == k).select("chunk_id"), "chunk_id", "left_semi")
-            parts.append(_encode(inner, mine, frame, f"{path}/{k}"))
+            parts.append(_encode(inner, mine, frame, f"{path}/{k}", observe))
         return {"ways": parts}
     codec = _make(graph)
     enc = codec.encode(s)
@@ -147,7 +192,7 @@ def _encode(graph: dict, s: DataFrame, frame: Frame, path: str) -> dict:
         if inner is None:
             frame.streams[at] = out
         else:
-            outputs[name] = _encode(inner, out, frame, at)
+            outputs[name] = _encode(inner, out, frame, at, observe)
     return {"codec": graph["codec"], "params": graph["params"], "made": enc.params, "names": list(enc.streams), "outputs": outputs}
 
 

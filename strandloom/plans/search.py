@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import scratch_dir
 from ..functions.statistics import feature_vector
 from ..operators.backends import stored_size
 from . import graph as g
@@ -26,27 +28,36 @@ def dominates(a: Sequence[float], b: Sequence[float]) -> bool:
 
 
 def _skyline(points: np.ndarray) -> np.ndarray:
-    """Which rows no other row dominates.  Sorted by their sum, a row can only be dominated by one before it."""
+    """Which rows no other row dominates.  Sorted by their sum, a row can only be dominated by one before it.
+
+    Rows are looked at in blocks, against the front held so far (in a buffer that doubles) and within the block.
+    """
     order = np.lexsort((*points.T, points.sum(axis=1)))
-    kept: list[int] = []
-    held = np.zeros((0, points.shape[1]))
+    held, n = np.zeros((1024, points.shape[1])), 0
+    out = np.zeros(len(points), bool)
     for k in order:
-        p = points[k]
-        if len(held) and ((held <= p).all(axis=1) & (held < p).any(axis=1)).any():
+        p, front = points[k], held[:n]
+        if n and ((front <= p).all(axis=1) & (front < p).any(axis=1)).any():
             continue
-        kept.append(k)
-        held = np.vstack((held, p))
-    out = np.zeros(len(points), bool)
-    out[kept] = True
+        out[k] = True
+        if n == len(held):
+            held = np.concatenate((held, np.zeros_like(held)))
+        held[n] = p
+        n += 1
     return out
 
 
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows that no row dominates, all objectives minimised; equal rows stay together.  Rows with a null don't count.
 
-    Each partition sends only its own front on, so what meets is far smaller than the table.
+    Two objectives need no search: in order of the first, a row is in the front if its second is less than that of all
+    rows with a smaller first, and the least of those with an equal one.  The least of the second by value of the
+    first is a map-side aggregate; what is ordered then is one row a value, by ranges of the first, each range knowing
+    the least of those before it.  More objectives: each partition sends only its own front on, in two rounds.
     """
     points = df.dropna(subset=list(objectives))
+    if len(objectives) == 2:
+        return _staircase(points, *objectives)
     at = [points.columns.index(c) for c in objectives]
 
     def local(batches):
@@ -64,6 +75,19 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return first.repartition(8).mapInArrow(local, points.schema).coalesce(1).mapInArrow(local, points.schema)
 
 
+def _staircase(points: DataFrame, x: str, y: str) -> DataFrame:
+    """The front of two objectives: a running minimum over ranges of the first."""
+    steps = points.groupBy(F.col(x).alias("sx")).agg(F.min(y).alias("sy"))
+    path = f"{scratch_dir(points.sparkSession)}/front-{uuid.uuid4().hex}"  # written once: ranges must be the same for both readers
+    steps.repartitionByRange("sx").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranges = points.sparkSession.read.parquet(path)
+    lows = ranges.groupBy("part").agg(F.min("sy").alias("low"))  # one row a partition
+    before = lows.select("part", F.min("low").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    here = F.min("sy").over(Window.partitionBy("part").orderBy("sx").rowsBetween(Window.unboundedPreceding, -1))
+    front = ranges.withColumn("here", here).join(F.broadcast(before), "part", "left").where("(here IS NULL OR sy < here) AND (before IS NULL OR sy < before)").select("sx", "sy")
+    return points.join(front, (F.col(x) == F.col("sx")) & (F.col(y) == F.col("sy")), "left_semi")
+
+
 def pareto_ranks(points: Sequence[Sequence[float]]) -> list[int]:
     """The front (from 0) of each point: fronts are peeled off one after the other."""
     x, rank, left, k = np.array(points, float), np.zeros(len(points), int), np.arange(len(points)), 0
@@ -206,16 +230,13 @@ def genetic_search(sample: DataFrame, population: int = 8, generations: int = 3,
     return sorted(front, key=lambda x: (x[0], json.dumps(x[1], sort_keys=True)))
 
 
-def combined_fronts(fronts: Sequence[Sequence[tuple[tuple[float, float], object]]], most: int = 64) -> list[tuple[tuple[float, float], list]]:
+def combined_fronts(fronts: Sequence[Sequence[tuple[tuple[float, float], object]]]) -> list[tuple[tuple[float, float], list]]:
     """Combinations of one candidate from each front, sums of their fitness, pruned to a Pareto set after each step."""
     out: list[tuple[tuple[float, float], list]] = [((0.0, 0.0), [])]
     for front in fronts:
         every = [((p[0] + q[0], p[1] + q[1]), [*xs, x]) for p, xs in out for q, x in front]
         points = [p for p, _ in every]
         every = [e for e, k in zip(every, pareto_ranks(points), strict=True) if k == 0]
-        if len(every) > most:
-            far = crowding_distances([p for p, _ in every])
-            every = [every[k] for k in sorted(range(len(every)), key=lambda k: (-far[k], k))[:most]]
         out = sorted(every, key=lambda e: e[0])
     return out
 
@@ -281,7 +302,8 @@ def limited_sample(df: DataFrame, size: str, order_by: Sequence[str], most: int)
     return df.withColumn("total", F.sum(size).over(w)).where(F.col("total") <= most).drop("total")
 
 
-FEATURES = ["n", "width", "cardinality", "range_size", "mean", "variance", "stddev", "skewness", "kurtosis"]
+#: The eleven features of an integer stream.
+FEATURES = ["n", "width", "cardinality", "cardinality_low", "cardinality_high", "range_size", "mean", "variance", "stddev", "skewness", "kurtosis"]
 
 
 def labelled_chunks(s: DataFrame, candidates: dict[str, dict]) -> DataFrame:
@@ -343,3 +365,53 @@ def _grown(x: np.ndarray, residual: np.ndarray, rows: np.ndarray, depth: int, ra
     out += _grown(x, residual, rows[~less], depth - 1, rate, nodes)
     nodes[here] = {"feature": f, "value": t, "left": left, "right": right, "missing": right}
     return out
+
+
+#: The pipelines that a numeric selector chooses from.
+NUMERIC_CHOICES = ("field_lz", "range_pack_zstd", "delta_field_lz", "tokenize_delta_field_lz", "delta_zstd", "store")
+
+
+def numeric_choices() -> dict[str, dict]:
+    return {n: g.PROFILES[n] if n in g.PROFILES else g.node(n) for n in NUMERIC_CHOICES}
+
+
+def numeric_selector(sample: DataFrame, **options) -> dict:
+    """A node that sends each chunk of integers one of six ways, learned from a sample's chunks and their features."""
+    choices = numeric_choices()
+    model = train_selector(labelled_chunks(sample, choices), **options)
+    return g.learned(model, {n: choices[n] for n in model["labels"]})
+
+
+def reservoir(items, most: int, seed: int = 1) -> list:
+    """At most `most` of the items, each with the same chance, in one pass."""
+    r, held = random.Random(seed), []
+    for k, x in enumerate(items):
+        if k < most:
+            held.append(x)
+        elif (at := r.randrange(k + 1)) < most:
+            held[at] = x
+    return held
+
+
+def train(streams: dict[int, DataFrame], generations: int = 2, population: int = 6, seed: int = 1, selector: bool = True) -> dict:
+    """Groups and graphs for some streams, in the order that each step needs the one before it.
+
+    First streams are grouped (bottom up, by stored size), then a graph is searched for each group, then a selector
+    over the graphs found is learned where several are in the front.  {"groups": [...], "graphs": [...], "fronts":
+    [[((bytes, nodes), graph), ...], ...]}: a graph for each group, and what combinations of the fronts are worth.
+    """
+    from ..operators.structure import Concat
+
+    groups = bottom_up(sorted(streams), joined_size(streams))
+    graphs, fronts = [], []
+    for members in groups:
+        s = Concat().encode(*(streams[k] for k in members))["v"]
+        front = genetic_search(s, population=population, generations=generations, seed=seed)
+        best = front[0][1]
+        if selector and len(front) > 1:
+            ways = {f"way_{k}": x for k, (_, x) in enumerate(front)}
+            model = train_selector(labelled_chunks(s, ways))
+            best = g.learned(model, {n: ways[n] for n in model["labels"]})
+        graphs.append(best)
+        fronts.append(front)
+    return {"groups": groups, "graphs": graphs, "fronts": combined_fronts(fronts)}

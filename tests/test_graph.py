@@ -66,3 +66,16 @@ def test_own_codecs(spark):
     op.register("negate", Negate)
     frame = op.encode(op.node("negate"), make(spark, {0: [1, -2]}))
     assert read(frame.streams["/v"])[0] == [-1, 2] and read(frame.decode())[0] == [1, -2]
+
+
+def test_dump_sizes_and_samples(spark, tmp_path):
+    s = make(spark, {0: list(range(50)), 1: [5, 5, 9]})
+    g = op.node("delta", {"deltas": op.slot("inner", op.node("zigzag"))})
+    frame = op.encode(g, s)
+    index = {r.path: r for r in frame.dump(f"{tmp_path}/d").collect()}
+    assert (index["/deltas/v"].n, index["/deltas/v"].bytes, index["/deltas/v"].kind) == (51, 408, "stream")
+    assert spark.read.parquet(f"{tmp_path}/d/stream=-deltas-v").count() == 51 and spark.read.json(f"{tmp_path}/d/index").count() == len(index)
+    assert read(op.samples_at(g, s, "inner")[0]) == {0: [1] * 49, 1: [0, 4]}
+    seen = []
+    op.encode(g, s, lambda path, node, x: seen.append((path, node["codec"])))
+    assert seen == [("", "delta"), ("/deltas", "zigzag")]

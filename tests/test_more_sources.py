@@ -72,7 +72,57 @@ def test_compact_thrift(spark):
     assert read(m.stream(e, "i32"))[0][:3] == [-7, 0, 1] and read(m.stream(e, "binary"))[0] == [b"abc"] * 2
     for bad in (b"", b"\x15", b"\x10", b"\0x", b"\x1f\0", b"\x18\x05a\0"):
         with pytest.raises(CodecError):
-            messages.thrift_read(bad, {n: [] for n in messages.THRIFT_STREAMS})
+            messages.thrift_read(bad, messages.Parts(messages.THRIFT_STREAMS))
+
+
+def test_binary_thrift_and_paths(spark):
+    def text(x):
+        return struct.pack(">i", len(x)) + x
+
+    inner = b"\x02" + struct.pack(">hB", 1, 1) + b"\0"
+    whole = (
+        b"\x08" + struct.pack(">hi", 1, -7) + b"\x0b" + struct.pack(">h", 2) + text("né".encode()) + b"\x04" + struct.pack(">hd", 3, -2.5) + b"\x0f" + struct.pack(">hBi", 4, 10, 3) + struct.pack(">qqq", 5, -6, 7)
+        + b"\x0d" + struct.pack(">hBBi", 5, 6, 12, 2) + struct.pack(">h", 9) + inner + struct.pack(">h", -9) + inner + b"\x0e" + struct.pack(">hBi", 6, 3, 1) + b"\xff" + b"\x0c" + struct.pack(">h", 7) + inner + b"\0"
+    )
+    chunks_ = {0: [whole, b"\0", whole], 1: [b"\0"]}
+    for paths in (None, {"mine": (1,), "elements": (4, messages.ELEMENT), "keys": (5, messages.KEY), "deep": (5, messages.VALUE, 1), "texts": (2,)}):
+        m = messages.Messages(protocol="binary", paths=paths)
+        e = m.encode(make(spark, chunks_, "binary"))
+        assert read(m.decode(e)) == chunks_
+        if paths:
+            assert read(m.stream(e, "elements"))[0] == [5, -6, 7] * 2 and read(m.stream(e, "keys"))[0] == [9, -9] * 2 and read(m.stream(e, "deep"))[0] == [1] * 4
+            assert read(m.stream(e, "texts", "binary"))[0] == ["né".encode()] * 2 and read(m.stream(e, "bool"))[0] == [1] * 2
+    for bad in (b"", b"\x08\0\x01\0", whole[:-1], whole + b"x", b"\x0b" + struct.pack(">hi", 1, -1) + b"\0", b"\x01\0\x01\0"):
+        with pytest.raises(CodecError):
+            messages.binary_read(bad, messages.Parts(messages.BINARY_STREAMS))
+    with pytest.raises(CodecError):
+        messages.Messages(protocol="other")
+
+
+def test_paths_of_compact_thrift(spark):
+    chunks_ = {0: [thrift(), b"\0", thrift()]}
+    m = messages.Messages(paths={"first": (1,), "long list": (202, messages.ELEMENT)})
+    e = m.encode(make(spark, chunks_, "binary"))
+    assert read(m.decode(e)) == chunks_ and read(m.stream(e, "first"))[0] == [-7] * 2
+
+
+def test_feature_maps(spark):
+    """Maps by kind, wherever they are in a record but within maps; the rest and the separators as they are."""
+    z = lambda x: messages.to_varint(messages.zigzag(x))
+    floats = b"\x02\x5d" + z(1) + struct.pack(">f", 1.5) + z(2) + struct.pack(">f", 2.5)
+    lists = b"\x02\x59" + z(7) + b"\x26" + z(1) + z(2) + z(8) + b"\x06"
+    nested_lists = b"\x01\x59" + z(3) + b"\x29" + b"\x06" + b"\x16" + z(4)
+    scores = b"\x01\x5b" + z(3) + b"\x01\x6d" + z(9) + struct.pack(">f", 0.5)
+    texts = b"\x01\x58" + z(1) + b"\x02ab"
+    record = b"\x80\0" + b"\x1b" + floats + b"\x1b" + lists + b"\x1c" + b"\x1b" + nested_lists + b"\0" + b"\x1b" + scores + b"\x1b" + texts + b"\x1b\0" + b"\0"
+    assert [(k, record[a:b]) for k, a, b in messages.feature_stretches(record) if k != messages.OTHER] == [("float", floats), ("id_list", lists), ("id_list_list", nested_lists), ("id_score_list", scores)]
+    chunks_ = {0: [record, b"", record + b"\n" + record + b"\0"], 1: [b"\x80\0\0\n"]}
+    c = messages.FeatureMaps()
+    e = c.encode(make(spark, chunks_, "binary"))
+    assert read(c.decode(e)) == chunks_ and read(c.stream(e, "float"))[0] == [floats] * 3
+    for bad in (b"x", b"\x80", record[:-1], b"\x80\0\x1b\x01\x5d", b"\x80\0" + b"\x1c" * 40):
+        with pytest.raises(CodecError):
+            messages.feature_stretches(bad)
 
 
 @pytest.mark.parametrize("kind, values", [

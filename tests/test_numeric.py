@@ -118,3 +118,19 @@ def test_parse_int(spark):
     assert read(t.decode(e)) == STRING_EDGE
     assert read(e["exceptions"])[3] == ["-0", "01", "+1", " 1", "1\n", "9223372036854775808", "1.0"]
     assert {r.chunk_id: r.choice for r in t.route(s).collect()} == {0: "strings", 1: "strings", 2: "strings", 3: "mixed", 4: "strings", 5: "numbers"}
+
+
+def test_floats_as_text(spark):
+    values = ["1.5", "0.1", "-0.0", "1.0E10", "1e10", "1.50", "x", "", "NaN", "Infinity", "nan", "123456.789", "0.30000000000000004", " 1.5", "+1.5", ".5", "1"]
+    c = op.TryParseFloat()
+    e = c.encode(make(spark, {0: values, 1: ["2.5"]}, "string"))
+    assert read(c.decode(e)) == {0: values, 1: ["2.5"]}
+    assert [v for v in read(e["numbers"])[0] if v == v] == [1.5, 0.1, -0.0, 1e10, float("inf"), 123456.789, 0.30000000000000004]
+    assert {r.chunk_id: r.choice for r in c.route(make(spark, {0: values, 1: ["2.5"], 2: ["a"]}, "string")).collect()} == {0: "mixed", 1: "numbers", 2: "strings"}
+    assert {r.chunk_id: r.ok for r in op.ParseFloat().check(make(spark, {0: values, 1: ["2.5"]}, "string")).collect()} == {0: False, 1: True}
+
+
+def test_differences_of_narrow_integers(spark):
+    values = [1, -5, 2**31 - 1, -(2**31), 0]
+    c = op.Delta()
+    assert read(c.decode(c.encode(make(spark, {0: values}, "int")))) == {0: values}

@@ -2,7 +2,7 @@ import json
 
 import pytest
 from streams import ints, make, naturals, read
-from test_text_sources import CSV, JSON
+from test_text_sources import CSV, json_texts
 
 from strandloom.__main__ import main
 from strandloom.operators import backends, numeric
@@ -54,7 +54,7 @@ def test_checksums(spark):
 
 
 def test_csv_and_json_inputs(spark):
-    for texts, there, back in ((CSV, profiles.csv_frames, profiles.csv_back), (JSON[:6] + JSON[9:16], profiles.json_frames, profiles.json_back)):
+    for texts, there, back in ((CSV, profiles.csv_frames, profiles.csv_back), (json_texts()[2:60], profiles.json_frames, profiles.json_back)):
         texts = [t for t in texts if t and all(c < 128 for c in t)]
         chunks = {k: [t] for k, t in enumerate(texts)}
         assert read(back(*there(make(spark, chunks, "binary")))) == chunks
@@ -71,4 +71,8 @@ def test_command_line(spark, tmp_path, capsys):
     main(["bench", "--profile", "serial,sorted".split(",")[1], *where])
     assert json.loads(capsys.readouterr().out)["rows"] == 300
     main(["train", "--generations", "0", "--to", f"{tmp_path}/g", *where])
-    assert json.loads(spark.read.text(f"{tmp_path}/g").first().value)[0]["bytes"] > 0
+    made = json.loads(spark.read.text(f"{tmp_path}/g").first().value)
+    assert made["columns"] == ["v"] and made["groups"] == [[0]] and made["fronts"][0]["bytes"] > 0
+    capsys.readouterr()
+    main(["dump", "--frame", f"{tmp_path}/f", "--to", f"{tmp_path}/d"])
+    assert {json.loads(x)["kind"] for x in capsys.readouterr().out.splitlines()} == {"stream", "header"}

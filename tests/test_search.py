@@ -89,3 +89,27 @@ def test_learned_selector(spark):
 def test_sample_limit(spark):
     d = spark.createDataFrame([(k, 10) for k in range(9)], "k int, n int")
     assert op.limited_sample(d, "n", ["k"], 35).count() == 3
+
+
+def test_fronts_of_two_objectives_against_brute_force(spark):
+    r = random.Random(4)
+    rows = [(k, r.randrange(60), r.randrange(60)) for k in range(400)] + [(1000, None, 0)]
+    df = spark.createDataFrame(rows, "k long, x long, y long")
+    want = {k for k, x, y in rows if x is not None and not any(a is not None and a <= x and b <= y and (a < x or b < y) for _, a, b in rows)}
+    assert {q.k for q in op.pareto_front(df, ["x", "y"]).collect()} == want
+
+
+def test_reservoir():
+    assert op.reservoir(range(3), 5) == [0, 1, 2]
+    times = [0] * 20
+    for seed in range(3000):
+        for x in op.reservoir(range(20), 5, seed):
+            times[x] += 1
+    assert all(600 < n < 900 for n in times)
+
+
+def test_training_in_order(spark):
+    streams = {k: make(spark, {0: [k * 1000 + i % 7 for i in range(400)]}) for k in range(3)}
+    made = op.train(streams, generations=1, population=4)
+    assert sorted(k for g in made["groups"] for k in g) == [0, 1, 2] and len(made["graphs"]) == len(made["groups"])
+    assert all(len(xs) == len(made["groups"]) for _, xs in made["fronts"])

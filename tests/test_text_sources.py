@@ -84,14 +84,19 @@ def spoilt(r: random.Random, raw: bytes) -> bytes:
     return (raw[:k], raw[:k] + bytes([r.randrange(256)]) + raw[k + 1 :], raw[:k] + bytes([r.randrange(256)]) + raw[k:], raw[:k] + raw[k + 1 :])[kind]
 
 
-def test_json_round_trip(spark):
+def json_texts() -> list[bytes]:
+    """Texts of the grammar, spoilt ones, and noise."""
     r = random.Random(6)
     whole = [text_of(r).encode() for _ in range(300)] + [b'{"long": "' + b"y" * 30_000 + b'"}']
     for t in whole:
         json.loads(t, parse_float=str, parse_int=str)  # is of the grammar
     noise = [bytes(r.randrange(256) for _ in range(r.randrange(40))) for _ in range(100)]
     marks = ["".join(r.choice('{}[],:"\\ tfnu01.eE+-STNKRFZ') for _ in range(r.randrange(40))).encode() for _ in range(200)]
-    texts = [b"", bytes(range(256)), *whole, *(spoilt(r, r.choice(whole)) for _ in range(300)), *noise, *marks]
+    return [b"", bytes(range(256)), *whole, *(spoilt(r, r.choice(whole)) for _ in range(300)), *noise, *marks]
+
+
+def test_json_round_trip(spark):
+    texts = json_texts()
     chunks = {k: [v] for k, v in enumerate(texts)}
     c = json_text.JsonText()
     assert read(c.decode(c.encode(make(spark, chunks, "binary")))) == chunks
