@@ -21,7 +21,6 @@ import json
 import re
 import struct
 from functools import lru_cache
-from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -33,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_rows
 
 #: Bytes of a table of chunks, or pieces, that a worker keeps.
-KEPT_BYTES = 72 << 20
-#: What an entry of such a table takes besides its key and value.
-ENTRY_BYTES = 100
+KEPT_BYTES = 96 << 20
+#: What an entry of such a table takes but for its letters: its place, and what its key and value are headed by.
+ENTRY_BYTES = 180
 #: Pairs of tokens of which a worker keeps whether they fit.
 KEPT_PAIRS = 200_000
 #: Letters with ASCII marks behind them, none of which begins a contraction or a special token.
@@ -165,7 +164,7 @@ class Kept(dict):
         value = self.older.get(chunk, _ABSENT)
         if value is _ABSENT:
             value = self.make(chunk)
-        size = ENTRY_BYTES + getsizeof(chunk) + getsizeof(value)
+        size = ENTRY_BYTES + 4 * len(chunk)  # ids are four bytes, and seldom more than half as many as letters
         if size > self.most >> 8:
             return value
         self.held += size
@@ -206,7 +205,7 @@ class Encoder:
         """Of a chunk that follows a space; None if the space has white space beside it."""
         if plain := PLAIN.fullmatch(chunk):  # two pieces by the pattern
             word, marks = plain.groups()
-            return self.whole[" " + word] + self.whole[marks] if marks else self.whole[" " + word]
+            return self.whole[" " + word] + self.whole[marks] if marks else self._piece(" " + word)
         return None if self.edge.search(chunk) else self._encode(" " + chunk)
 
     def encode(self, text: str) -> bytes:

@@ -42,7 +42,7 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 21
 END_ID = 1
 #: Bytes of the tables that a worker keeps of chunks, words and marks.
-CHUNK_BYTES, WORD_BYTES, MARK_BYTES = 128 << 20, 80 << 20, 2 << 20
+CHUNK_BYTES, WORD_BYTES, MARK_BYTES = 256 << 20, 96 << 20, 2 << 20
 FOOTER = struct.Struct("<QIIBQ")
 DOCUMENT = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8")])
 
@@ -151,8 +151,10 @@ class WordEncoder:
         if not plain:
             return self._whole(chunk)
         word, marks = plain.groups()
-        ids = self.words[word.lower() if word.isascii() else word.decode().lower().encode()]
-        return ids + self.rest[marks] if marks else ids
+        small = word.lower() if word.isascii() else word.decode().lower().encode()
+        if not marks and small == word:  # kept as a chunk
+            return self._word(word)
+        return self.words[small] + self.rest[marks] if marks else self.words[small]
 
     def _word(self, word: bytes) -> bytes:
         return _packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))])
