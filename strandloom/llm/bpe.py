@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_rows
+from .common import map_batches, tables_of, text_rows
 
 #: Bytes of a table of chunks, or pieces, that a worker keeps.
 KEPT_BYTES = 96 << 20
@@ -224,6 +224,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+tables_of("pieces", encoder.cache_clear)
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -251,7 +254,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             text_sha.append(hashlib.sha256(e.vocabulary.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(text_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(text_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "pieces")
 
 
 def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:

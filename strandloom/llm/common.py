@@ -82,10 +82,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
+#: How the tables that operators keep in a Python worker are let go, by name.
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def tables_of(name: str, clear: Callable[[], None]) -> None:
+    """Make known how tables that outlive a task are let go."""
+    _tables[name] = clear
+
+
+def hold_only(name: str | None) -> None:
+    """Workers are used again by whatever runs next: it lets go of the tables that others left."""
+    for other, clear in _tables.items():
+        if other != name:
+            clear()
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, tables: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; empty batches are passed over.  `tables` are those that f uses."""
 
     def run(batches):
+        hold_only(tables)
         for batch in batches:
             if batch.num_rows:
                 out = f(batch)

@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), separator
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)])
-    return map_batches(rows, run, "doc_id long, field string, section int, start long, end long, n_tokens double, doc_tokens long")
+    return map_batches(rows, run, "doc_id long, field string, section int, start long, end long, n_tokens double, doc_tokens long", "pieces")
 
 
 QUERY = "op1_token_counts"

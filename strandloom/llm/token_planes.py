@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Kept, byte_alphabet, vocabulary_path
-from .common import Scratch, as_bytes, map_batches, text_rows
+from .common import Scratch, as_bytes, hold_only, map_batches, tables_of, text_rows
 
 MAGIC = b"SLPLANE1"
 BLOCK_IDS = 1 << 16
@@ -176,6 +176,9 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+tables_of("words", word_encoder.cache_clear)
+
+
 def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, planes: int = 4, block: int = BLOCK_IDS, file_ids: int = FILE_IDS, end_id: int = END_ID) -> None:
     """Encode documents and write their files as a table at `path`.
 
@@ -190,6 +193,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, plane
         def closed():
             return pa.RecordBatch.from_arrays([pa.array([(part << 20) + seq], pa.int64()), pa.array([writer.n], pa.int64()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.close()], pa.binary())], ["file_no", "n_ids", "n_docs", "bytes"])
 
+        hold_only("words")
         encode = word_encoder(tokenizer).encode
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):

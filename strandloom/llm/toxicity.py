@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import Scratch, map_batches, text_rows
+from .common import Scratch, hold_only, map_batches, text_rows
 
 FIT_ROWS = 10_000
 #: Signs of the trigram model: 0 a boundary, 1-26 a-z, 27-58 the small letters of Latin-1, 59 other letters.
@@ -84,6 +84,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     """(cell, n): trigrams of signs over all texts; runs of boundaries count as one."""
 
     def run(batches):
+        hold_only(None)
         total, held, n_held = np.zeros(SIGNS**3, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -359,6 +360,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
         return " ".join({f: None for w in words for f in features(w)})
 
     def count(batches):
+        hold_only(None)
         seen = Counter(), Counter()
         kept = Kept(lambda chunk: listed(channel.readings(chunk)), CHUNK_BYTES)
         for batch in batches:

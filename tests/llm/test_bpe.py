@@ -55,3 +55,13 @@ def test_columns_of_ids_round_trip(spark):
     d = docs(spark, HARD)
     back = op.decode(op.encode(d), column="again")
     assert all(r.again == (r.text or "") for r in back.collect())
+
+
+def test_tables_of_other_operators_are_let_go():
+    from strandloom.llm.common import hold_only
+
+    e = op.encoder(op.vocabulary_path("byte_bpe_50k.json"))
+    hold_only("pieces")
+    assert op.encoder(op.vocabulary_path("byte_bpe_50k.json")) is e
+    hold_only(None)
+    assert op.encoder(op.vocabulary_path("byte_bpe_50k.json")) is not e
