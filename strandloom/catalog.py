@@ -659,7 +659,10 @@ def _(spark, d):
     return segmenters.segment_numeric(orders(spark, d), 64, 4000)
 
 
-@query("segment_lines")
+@query("segment_lines", f"""WITH RECURSIVE {CUSTOMERS}, g AS (
+SELECT chunk_id, pos, v, 0 AS segment, strlen(v) + 1 AS held FROM s WHERE pos = 0
+UNION ALL SELECT s.chunk_id, s.pos, s.v, CASE WHEN held >= 2000 THEN segment + 1 ELSE segment END, CASE WHEN held >= 2000 THEN 0 ELSE held END + strlen(s.v) + 1 FROM g JOIN s ON s.chunk_id = g.chunk_id AND s.pos = g.pos + 1)
+SELECT chunk_id, pos, v, segment FROM g""", pos="BIGINT", segment="BIGINT")
 def _(spark, d):
     return segmenters.segment_lines(customers(spark, d), 2000)
 

@@ -46,5 +46,5 @@ def test_scratch_folder_is_the_sessions(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_every_query_has_sql_but_the_sequential_one():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"segment_lines"}
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
