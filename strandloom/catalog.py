@@ -603,15 +603,25 @@ def _(spark, d):
     return x.select("chunk_id", selectors.two_byte_backend(F.col("n"), F.col("k"), F.col("top"), F.col("entropy")).alias("choice"))
 
 
-@query("literal_backend_choice", f"""WITH {BYTES}, {DELTAS}, h AS ({H.format('s')}), {SIZES},
+# Chunks by turns: one value, differences of one, nearly all one value, and many values.
+_TURNS = "(o_orderkey // 512) % 4"
+LITERALS = _stream_sql("orders", "o_orderkey", 512, f"CASE {_TURNS} WHEN 0 THEN 7 WHEN 1 THEN o_orderkey % 256 WHEN 2 THEN CASE WHEN o_custkey % 50 = 0 THEN o_custkey % 256 ELSE 3 END ELSE (o_custkey * o_custkey) % 61 END")
+
+
+@query("literal_backend_choice", f"""WITH {LITERALS}, {DELTAS}, h AS ({H.format('s')}), {SIZES},
 m AS (SELECT chunk_id, pos, ((v % 256) + 256) % 256 AS v FROM d), dh AS ({H.format('m')}),
-y AS (SELECT x.chunk_id, x.n, x.k, huffman_size AS hu, CASE WHEN dh.h > 7 THEN x.n ELSE floor(greatest(dh.h, 1) * x.n / 8) END AS du, x.n AS z FROM x JOIN dh USING (chunk_id)),
-g AS (SELECT *, du + du * 4 // 100 < hu AS delta FROM y), b AS (SELECT *, CASE WHEN delta THEN du ELSE hu END AS best FROM g)
-SELECT chunk_id, CASE WHEN k = 1 AND n > 1 THEN 'constant' WHEN n < 200 THEN 'store' WHEN best + best * 2 // 100 >= n THEN 'store' WHEN delta THEN 'delta_huffman' ELSE 'huffman' END AS choice FROM b""")
-def _(spark, d):
-    x = st.byte_statistics(_bytes(spark, d))
-    n = F.col("n")
-    return x.select("chunk_id", selectors.literal_backend(n, F.col("distinct"), F.col("huffman_size"), F.col("delta_huffman_size"), n, n).alias("choice"))
+y AS (SELECT x.chunk_id, x.n, x.k, huffman_size AS hu, CASE WHEN coalesce(dh.h, 0) > 7 THEN x.n ELSE floor(greatest(coalesce(dh.h, 0), 1) * x.n / 8) END AS du, x.flatpacked_size AS z, x.bitpacked_size AS dz FROM x LEFT JOIN dh USING (chunk_id)),
+g AS (SELECT *, du + du * 4 // 100 < hu AS delta FROM y), b AS (SELECT *, CASE WHEN delta THEN du ELSE hu END AS hs, CASE WHEN delta THEN dz ELSE z END AS zs FROM g),
+c AS (SELECT *, CASE WHEN hs + hs * 2 // 100 >= n THEN 'store' WHEN zs + zs * 4 // 100 < hs + hs * 2 // 100 THEN 'zstd' ELSE 'huffman' END AS best FROM b)
+SELECT chunk_id, CASE WHEN k = 1 AND n > 1 THEN 'constant' WHEN n < 200 THEN 'store' WHEN delta AND best <> 'store' THEN 'delta_' || best ELSE best END AS choice FROM c""")
+def _(spark, d):
+    """The rule on given sizes: flat packing's and bit packing's stand for those of zstandard."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    turn = F.floor(key / 512) % 4
+    value = F.when(turn == 0, 7).when(turn == 1, key % 256).when(turn == 2, F.when(customer % 50 == 0, customer % 256).otherwise(3)).otherwise(customer * customer % 61).cast("long")
+    x = st.byte_statistics(orders(spark, d, 512, value))
+    sizes = [F.col(c) for c in ("huffman_size", "delta_huffman_size", "flatpacked_size", "bitpacked_size")]
+    return x.select("chunk_id", selectors.literal_backend(F.col("n"), F.col("distinct"), *sizes).alias("choice"))
 
 
 @query("brute_force_choice", f"""WITH {BYTES}, h AS ({H.format('s')}), {SIZES}

@@ -30,7 +30,7 @@ def dominates(a: Sequence[float], b: Sequence[float]) -> bool:
 def _skyline(points: np.ndarray) -> np.ndarray:
     """Which rows no other row dominates.  Sorted by their sum, a row can only be dominated by one before it.
 
-    Rows are looked at in blocks, against the front held so far (in a buffer that doubles) and within the block.
+    The front held so far is in a buffer that doubles.
     """
     order = np.lexsort((*points.T, points.sum(axis=1)))
     held, n = np.zeros((1024, points.shape[1])), 0
