@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a chunk unless told otherwise.
 CHUNK_ROWS = 1 << 20
+#: Binary logarithm of the places that one task takes of a chunk where an operator deals chunks out.
+STRETCH_BITS = 20
 MASK32 = (1 << 32) - 1
 MIN64 = -(1 << 63)
 
@@ -96,15 +99,44 @@ def stream(df: DataFrame, value: str | Column, order_by: list[str] | str, chunk:
     """A stream of a table's column.
 
     ``order_by`` must be a unique key.  ``chunk`` gives each row's chunk_id from the row alone (a range of the key,
-    say), so only chunks are sorted; without it the table is one chunk, for small tables.
+    say), so only chunks are sorted; without it the table is one chunk, which is a `long_stream`.
     """
+    if chunk is None:
+        return long_stream(df, value, order_by)
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select((F.lit(0) if chunk is None else chunk).cast("long").alias("chunk_id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], value.alias("v"))
+    rows = df.select(chunk.cast("long").alias("chunk_id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], value.alias("v"))
     order = Window.partitionBy("chunk_id").orderBy(*[f"k{i}" for i in range(len(keys))])
     return rows.select("chunk_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "v")
 
 
+def long_stream(df: DataFrame, value: str | Column, order_by: list[str] | str, chunk: Column | None = None) -> DataFrame:
+    """A stream whose chunks may be of any size, even the table as one.
+
+    Sorted by ranges of (chunk, key) and written once to the scratch folder.  A range's rows of a chunk are a run; a
+    place is the row's place in its run plus the chunk's rows in the ranges before, so no task sees more than a range.
+    """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.select((F.lit(0) if chunk is None else chunk).cast("long").alias("chunk_id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], value.alias("v"))
+    order = ["chunk_id", *[f"k{i}" for i in range(len(keys))]]
+    place, path = F.monotonically_increasing_id(), f"{scratch_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("chunk_id", "v", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    placed.write.parquet(f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    before = F.sum("n").over(Window.partitionBy("chunk_id").orderBy("part")) - F.col("n")
+    runs = rows.groupBy("chunk_id", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).select(F.col("chunk_id").alias("run_chunk"), F.col("part").alias("run_part"), (before - F.col("first")).alias("shift"))
+    runs.write.parquet(f"{path}/runs")  # so that its size is known where it is joined
+    runs = df.sparkSession.read.parquet(f"{path}/runs")
+    out = rows.join(runs, (F.col("part") == F.col("run_part")) & F.col("chunk_id").eqNullSafe(F.col("run_chunk")))
+    return out.select("chunk_id", (F.col("at") + F.col("shift")).alias("pos"), "v")
+
+
+def stretch() -> Column:
+    """Which stretch of its chunk a row's place is in: what deals a chunk of any size to many tasks."""
+    return F.shiftright("pos", STRETCH_BITS)
+
+
 def positions(df: DataFrame, order_by: list[str], path: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """df with a global position ``pos`` and ``chunk_id`` = pos div chunk_rows, for keys of any distribution.
 

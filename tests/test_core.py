@@ -72,3 +72,14 @@ def test_a_cluster_must_name_its_scratch_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             scratch_dir(session(master))
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_a_long_chunk_is_numbered_by_ranges(spark, halves):
+    keys = [(R.randrange(10**6), k) for k in range(2000)]
+    d = spark.createDataFrame(keys, "k long, j long").repartition(7)
+    s = core.long_stream(d, "j", ["k", "j"], F.col("k") % 2) if halves else core.stream(d, "j", ["k", "j"])
+    want = {c: [j for k, j in sorted(keys) if not halves or k % 2 == c] for c in range(1 + halves)}
+    assert read(s) == want
+    assert "row_number" not in s._jdf.queryExecution().executedPlan().toString()  # no window over a whole chunk
+    assert core.stream(d.where("false"), "j", ["k", "j"]).count() == 0
