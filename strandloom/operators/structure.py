@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Codec, CodecError, Encoded, in_arrays, in_chunk, narrow, per_chunk
+from .. import core
+from ..core import Codec, CodecError, Encoded, in_arrays, in_chunk, narrow, per_chunk, stretch
 
 MAX_STRING_OUTPUTS = 2048
 MAX_INTERLEAVED = 512
@@ -323,21 +324,26 @@ class Concat(Codec):
             raise CodecError("streams have different types")
         every = None
         for k, s in enumerate(streams):
-            part = s.select("chunk_id", F.lit(k).alias("k"), "pos", "v")
+            part = s.select("chunk_id", F.lit(k).alias("k"), stretch().alias("stretch"), "pos", "v")
             every = part if every is None else every.unionByName(part)
-        sizes = every.groupBy("chunk_id", "k").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("chunk_id").orderBy("k", "pos")
-        return Encoded({"v": every.select("chunk_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "v"), "sizes": sizes.select("chunk_id", F.col("k").cast("long").alias("pos"), F.col("n").alias("v"))}, params={"n": len(streams)})
+        counts = every.groupBy("chunk_id", "k", "stretch").agg(F.count("*").alias("n"))
+        sizes = counts.groupBy("chunk_id", "k").agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("chunk_id").orderBy("k", "stretch")) - F.col("n")
+        starts = counts.select(F.col("chunk_id").alias("c0"), F.col("k").alias("k0"), F.col("stretch").alias("s0"), before.alias("before"))
+        dealt = every.join(starts, F.col("chunk_id").eqNullSafe(F.col("c0")) & (F.col("k") == F.col("k0")) & (F.col("stretch") == F.col("s0")))
+        place = F.row_number().over(Window.partitionBy("chunk_id", "k", "stretch").orderBy("pos")) - 1
+        return Encoded({"v": dealt.select("chunk_id", (F.col("before") + place).alias("pos"), "v"), "sizes": sizes.select("chunk_id", F.col("k").cast("long").alias("pos"), F.col("n").alias("v"))}, params={"n": len(streams)})
 
     def decode(self, enc: Encoded) -> tuple[DataFrame, ...]:
         w = in_chunk().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sizes = enc["sizes"].select("chunk_id", F.col("pos").alias("k"), F.sum("v").over(w).alias("end"), F.col("v").alias("n"))
-        bounds = sizes.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct((F.col("end") - F.col("n")).alias("lo"), F.col("end").alias("hi"))))).alias("b"))
-        x = enc["v"].join(bounds, "chunk_id")
+        sizes = enc["sizes"].select("chunk_id", F.col("pos").alias("k"), F.sum("v").over(w).alias("hi"), F.col("v").alias("n")).where("n > 0").withColumn("lo", F.col("hi") - F.col("n"))
+        stretches = F.sequence(F.shiftright("lo", core.STRETCH_BITS), F.shiftright(F.col("hi") - 1, core.STRETCH_BITS))
+        bounds = sizes.select("chunk_id", "k", "lo", "hi", F.explode(stretches).alias("stretch"))
+        x = enc["v"].withColumn("stretch", stretch())
 
         def part(k: int) -> DataFrame:
-            b = F.col("b")[F.lit(k).cast("long")]
-            return x.where((F.col("pos") >= b["lo"]) & (F.col("pos") < b["hi"])).select("chunk_id", (F.col("pos") - b["lo"]).alias("pos"), "v")
+            found = x.join(bounds.where(F.col("k") == k), ["chunk_id", "stretch"]).where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+            return found.select("chunk_id", (F.col("pos") - F.col("lo")).alias("pos"), "v")
 
         return tuple(part(k) for k in range(enc.params["n"]))
 

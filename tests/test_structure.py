@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from streams import STRING_EDGE, ints, make, ok, read
 
+from strandloom import core
 from strandloom.core import CodecError
 from strandloom.operators import structure as op
 from strandloom.operators.numeric import Delta, ZigZag
@@ -107,3 +109,16 @@ def test_n_to_n_and_split(spark):
     s = make(spark, {0: [1, 4, 9]})
     assert read(op.n_to_n([s, s], [Delta(), ZigZag()])[0]["deltas"])[0] == [3, 5]
     assert read(op.split_to(op.SplitN([1, 2]).encode(s), [ZigZag(), Delta()])["segment_1"]["deltas"])[0] == [5]
+
+
+def test_a_long_chunk_is_concatenated_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(core, "STRETCH_BITS", 4)
+    chunks = [{0: list(range(n)), 1: [n]} for n in (500, 16, 333)]
+    c = op.Concat()
+    e = c.encode(*(make(spark, x) for x in chunks))
+    assert read(e["v"]) == {0: [v for x in chunks for v in x[0]], 1: [500, 16, 333]}
+    assert [read(x) for x in c.decode(e)] == chunks
+    numbered = re.findall(r"row_number\(\) windowspecdefinition\((.*?) ASC", e["v"]._jdf.queryExecution().executedPlan().toString())
+    assert numbered and all("stretch" in w for w in numbered)
+    gaps = make(spark, {0: list(range(100))}).where("pos % 3 = 0")  # places with gaps are closed
+    assert read(c.encode(gaps, gaps)["v"]) == {0: 2 * list(range(0, 100, 3))}
