@@ -158,6 +158,14 @@ class SeparateStrings(Codec):
         return SetStringLengths().encode(enc["content"], enc["lengths"])["v"].withColumn("v", F.col("v").cast(enc.params["type"]))
 
 
+def _dealt(part: DataFrame) -> DataFrame:
+    """One of several streams that are put together by place: dealt by place before their union.
+
+    Streams cut from one are partitioned alike, and a task of their union would make and sort all of them.
+    """
+    return part.repartition("chunk_id", "pos")
+
+
 class TransposeSplit(Codec):
     """Numbers to one stream for each of their bytes, the lowest first."""
 
@@ -173,7 +181,7 @@ class TransposeSplit(Codec):
     def decode(self, enc: Encoded) -> DataFrame:
         every = None
         for k in range(self.width // 8):
-            part = enc[f"byte_{k}"].withColumn("v", F.shiftleft("v", 8 * k))
+            part = _dealt(enc[f"byte_{k}"].withColumn("v", F.shiftleft("v", 8 * k)))
             every = part if every is None else every.unionByName(part)
         return every.groupBy("chunk_id", "pos").agg(F.bit_or("v").alias("v")).withColumn("v", narrow(F.col("v"), self.width))
 
@@ -199,7 +207,7 @@ class SplitByStruct(Codec):
     def decode(self, enc: Encoded) -> DataFrame:
         every = None
         for k in range(len(self.sizes)):
-            part = enc[f"field_{k}"].withColumn("k", F.lit(k))
+            part = _dealt(enc[f"field_{k}"].withColumn("k", F.lit(k)))
             every = part if every is None else every.unionByName(part)
         fields = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: F.hex(x["v"]))
         return every.groupBy("chunk_id", "pos").agg(F.unhex(F.array_join(fields, "")).alias("v"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from streams import STRING_EDGE, ints, make, ok, read
 
 from strandloom import core
@@ -122,3 +123,14 @@ def test_a_long_chunk_is_concatenated_by_many_tasks(spark, monkeypatch):
     assert numbered and all("stretch" in w for w in numbered)
     gaps = make(spark, {0: list(range(100))}).where("pos % 3 = 0")  # places with gaps are closed
     assert read(c.encode(gaps, gaps)["v"]) == {0: 2 * list(range(0, 100, 3))}
+
+
+@pytest.mark.parametrize("codec, n", [(op.TransposeSplit(64), 8)])
+def test_streams_are_dealt_before_they_are_put_together(spark, codec, n):
+    d = spark.createDataFrame([(k, R.randbytes(n)) for k in range(300)], "k long, b binary")
+    value = "b" if isinstance(codec, op.SplitByStruct) else "k"
+    s = core.stream(d, value, "k", F.floor(F.col("k") / 100))
+    back = codec.decode(codec.encode(s))
+    union = back._jdf.queryExecution().executedPlan().toString().partition("Union\n")[2]
+    assert len(re.findall(r"[:+]- Exchange hashpartitioning\(chunk_id#\d+L?, pos#\d+L?, \d+\), REPARTITION_BY_COL", union)) == n  # no task sorts every stream's chunks
+    assert read(back) == read(s)
