@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import BYTES, CUSTOMERS, DELTAS, ORDERS, W, _bytes, _csv, _div, _props, _records, _stream_sql, _vectors, customers, orders, query
-from .core import in_batches, scratch_dir, stream, table
+from .core import in_batches, long_stream, scratch_dir, stream, table
 from .operators import clustering, dictionary, numeric, segmenters, selectors, structure
 from .plans import graph, profiles, search
 from .sources import csv_text, files, json_text, messages
@@ -300,7 +300,7 @@ def _(spark, d):
     """A stream of lineitem's rows once, and one of them three times."""
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
     t = t.withColumn("k", F.explode(F.sequence(F.lit(0), 2 * F.col("half"))))
-    x = selectors.entropy_pieces(stream(t, "l_partkey", ["l_orderkey", "l_linenumber", "k"], F.col("half")))
+    x = selectors.entropy_pieces(long_stream(t, "l_partkey", ["l_orderkey", "l_linenumber", "k"], F.col("half")))
     return x.groupBy("chunk_id", "piece").agg(F.count("*").alias("n"), F.max(F.col("pos") + F.col("piece") * selectors.ENTROPY_PIECE).alias("last"))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import stretch, whole_chunk
+
 NEVER = 1 << 62
 
 
@@ -77,9 +79,11 @@ ENTROPY_WHOLE, ENTROPY_PIECE = 100_000, 32_768
 
 def entropy_pieces(s: DataFrame) -> DataFrame:
     """The stream with its chunks cut for entropy coding: chunk_id, piece, pos (in the piece), v."""
-    n = s.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    counts = s.groupBy("chunk_id", stretch().alias("stretch")).agg(F.count("*").alias("n"))
+    n = counts.withColumn("n", F.sum("n").over(whole_chunk()))  # of each stretch, so that a long chunk is joined by many tasks
     piece = F.when(F.col("n") < ENTROPY_WHOLE, 0).otherwise(F.floor(F.col("pos") / ENTROPY_PIECE)).cast("long")
-    return s.join(n, "chunk_id").withColumn("piece", piece).select("chunk_id", "piece", (F.col("pos") - F.when(F.col("n") < ENTROPY_WHOLE, 0).otherwise(F.col("piece") * ENTROPY_PIECE)).alias("pos"), "v")
+    x = s.withColumn("stretch", stretch()).join(n, ["chunk_id", "stretch"]).withColumn("piece", piece)
+    return x.select("chunk_id", "piece", (F.col("pos") - F.when(F.col("n") < ENTROPY_WHOLE, 0).otherwise(F.col("piece") * ENTROPY_PIECE)).alias("pos"), "v")
 
 
 def _less(size: Column, percent: int) -> Column:

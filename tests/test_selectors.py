@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from streams import ints, make, naturals, read
 
+from strandloom import core
 from strandloom.functions import statistics as st
 from strandloom.operators import selectors as op
 
@@ -142,3 +144,20 @@ def test_boosted_trees(spark):
     one = {"features": ["x"], "labels": ["no", "yes"], "forests": [[stump(0, 2, -1.0, 0.0, 1)]]}
     assert [r.c for r in d.select(op.BoostedTrees(one).label().alias("c")).collect()] == ["no", "yes", "no", "yes"]
     assert d.select(op.BoostedTrees({"features": [], "labels": ["z"], "forests": []}).label().alias("c")).first().c == "z"
+
+
+def test_pieces_of_a_long_chunk_are_joined_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(core, "STRETCH_BITS", 10)
+    s = spark.range(100_101).select(F.when(F.col("id") < 100_001, 0).otherwise(1).cast("long").alias("chunk_id"), F.when(F.col("id") < 100_001, F.col("id")).otherwise(F.col("id") - 100_001).alias("pos"), F.col("id").alias("v"))
+    pieces = op.entropy_pieces(s)
+    got = pieces.groupBy("chunk_id", "piece").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min(F.col("v") - F.col("pos")).alias("first"))
+    assert sorted(map(tuple, got.collect())) == [(0, k, n, 0, n - 1, k * 32768) for k, n in enumerate((32768, 32768, 32768, 1697))] + [(1, 0, 100, 0, 99, 100_001)]
+    keys = re.findall(r"Join \[(.*?)\]", pieces._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("stretch" in k for k in keys)  # chunk_id alone would put a long chunk into one task
+
+
+def test_the_query_of_pieces_has_no_window_over_a_chunk(spark):
+    from strandloom import catalog
+
+    plan = catalog.QUERIES["entropy_pieces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
