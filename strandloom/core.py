@@ -163,18 +163,21 @@ def per_chunk(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) ->
     return df.groupBy("chunk_id").applyInArrow(run, schema)
 
 
-def in_batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType], most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into batches, so that many small chunks don't make many small batches."""
+def in_batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType], most: int = 20_000, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows gathered into batches, so that many small chunks don't make many small batches; `most_bytes` bounds the last column's values."""
     held: list[tuple] = []
+    size = 0
 
     def made():
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     for row in rows:
         held.append(row)
-        if len(held) >= most:
+        size += 0 if most_bytes is None else len(row[-1])
+        if len(held) >= most or (most_bytes is not None and size >= most_bytes):
             yield made()
             held.clear()
+            size = 0
     if held:
         yield made()
 

@@ -115,3 +115,17 @@ def test_canonical_spelling_is_the_usual_one():
         text = "".join(chr(r.choice([*range(0, 0x80), 0xE9, 0x1F680])) for _ in range(r.randrange(8)))
         raw = json.dumps(text, ensure_ascii=False)[1:-1].encode()
         assert json_text.unescaped(raw) == text.encode() and json_text.escaped(text.encode()) == raw
+
+
+@pytest.mark.parametrize("rows", [3, 10_000])
+def test_small_json_texts_are_put_together_in_batches(spark, monkeypatch, rows):
+    monkeypatch.setattr(json_text, "BATCH_BYTES", 64)
+    texts = {k: [b'{"a": [%d, "S", true], "b\\u0041": null}' % k * (1 + k % 3)] for k in range(200)} | {-1: [b""], -2: [b"[" + b"1," * 500 + b"2]"]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # texts lie across batches
+    try:
+        c = json_text.JsonText()
+        back = c.decode(c.encode(make(spark, texts, "binary")))
+        assert read(back) == texts
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in back._jdf.queryExecution().executedPlan().toString()  # no Python step for each text
