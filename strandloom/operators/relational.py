@@ -5,6 +5,8 @@ These go beyond codecs; they serve whoever works with streams as tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,4 +53,36 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     if not levels:
         levels = [0]
     p = points.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("bucket", F.floor(F.col(at) / size))
-    return p.join(i, ["level", "bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("level", "bucket")
+    p, i, keys = _dealt(p, i, ["level", "bucket"])
+    return p.join(i, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop(*keys)
+
+
+#: Rows of a side from which a full bucket is cut into parts; pairs to compare that a task takes; buckets cut at most by a broadcast.
+PART_ROWS, TASK_PAIRS, BROADCAST_ROWS = 2048, 1 << 27, 100_000
+
+
+def _dealt(p: DataFrame, i: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and intervals, and the keys that they meet by, dealt to as many tasks as there are pairs to compare.
+
+    Where all pairs are few, both are as they were.  Else buckets with many pairs are cut into parts on both sides by
+    the rows' hashes, and every part of one side meets every part of the other: a few buckets with most of the rows
+    are many tasks.  (Points that are equal in every column stay together.)  Parts are kept small, so each row of one
+    side passes few rows of the other.
+    """
+    counts = p.groupBy(*keys).agg(F.count("*").alias("points")).join(i.groupBy(*keys).agg(F.count("*").alias("intervals")), keys)
+    pairs = F.col("points").cast("double") * F.col("intervals")
+    full = pairs > PART_ROWS**2
+    total, n_full = counts.agg(F.coalesce(F.sum(pairs), F.lit(0.0)), F.count(F.when(full, 1))).first()
+    if total <= TASK_PAIRS:
+        return p, i, keys
+    cut = counts.where(full).select(*keys, *[F.ceil(F.col(c) / PART_ROWS).alias(f"{c}_parts") for c in ("points", "intervals")])
+    cut = F.broadcast(cut) if n_full <= BROADCAST_ROWS else cut
+    n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(total / TASK_PAIRS), BROADCAST_ROWS))
+
+    def parted(side: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.xxhash64(*[c for c, kind in side.dtypes if "map<" not in kind and kind != "variant"])
+        x = side.join(cut, keys, "left")
+        x = x.withColumn(f"{mine}_part", F.pmod(own, F.coalesce(f"{mine}_parts", F.lit(1)))).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", F.lit(1)) - 1)))
+        return x.drop("points_parts", "intervals_parts").repartition(n, *keys, "points_part", "intervals_part")
+
+    return parted(p, "points", "intervals"), parted(i, "intervals", "points").hint("merge"), [*keys, "points_part", "intervals_part"]

@@ -148,6 +148,22 @@ def test_joins(spark):
     assert sorted((r.k, r.j) for r in got.collect()) == sorted((k, j) for k, _, t in left for j, s, e in spans if s <= t < e)
 
 
+def test_full_buckets_of_intervals_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PART_ROWS", 8)
+    monkeypatch.setattr(relational, "TASK_PAIRS", 64)
+    points = [(k, 5 if k % 4 else R.randrange(300)) for k in range(400)] + [(400, None)]
+    spans = [(j, s, s + R.choice([0, 3, 30, 200])) for j in range(60) for s in [R.randrange(12) if j % 3 else R.randrange(300)]]
+    p, i = spark.createDataFrame(points, "k int, t int"), spark.createDataFrame(spans, "j int, s int, e int")
+    want = sorted((k, j) for k, t in points if t is not None for j, s, e in spans if s <= t < e)
+    for rows in (100_000, 0):
+        monkeypatch.setattr(relational, "BROADCAST_ROWS", max(rows, 1))
+        found = relational.interval_join(p, i, "t", "s", "e", 7)
+        assert found.columns == ["k", "t", "j", "s", "e"] and sorted((r.k, r.j) for r in found.collect()) == want
+    monkeypatch.setattr(relational, "BROADCAST_ROWS", 100_000)
+    one = relational.interval_join(p.where("t = 5"), i, "t", "s", "e", 7).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert one > 20  # a single value, of one bucket at each of four levels
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(struct.pack("<3H", 1, 2, 65535))
     got = read(files.integers(files.whole_files(spark, f"file://{tmp_path}", "*.bin"), "le-u16"))
