@@ -807,7 +807,7 @@ def stream_profile(spark: SparkSession, d: str) -> DataFrame:
     names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
     wide = t.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("chunk_id"), F.col(c).cast("long").alias("v")) for k, c in enumerate(names)])).alias("x"))
     s = wide.select("x.chunk_id", F.lit(0).cast("long").alias("pos"), "x.v")
-    x = _rounded(st.feature_vector(s), *MOMENT_NAMES).join(st.entropy(s), "chunk_id").join(st.unsigned_range(s).select("chunk_id", "high"), "chunk_id")
+    x = _rounded(st.profile(s), *MOMENT_NAMES)
     n, k, top = F.col("n"), F.col("cardinality"), F.col("high")
     sizes = x.withColumn("raw", n * 8).withColumn("bitpack", selectors.bitpacked_size(n, top)).withColumn("constant", selectors.constant_size(n, k))
     sizes = sizes.withColumn("tokenize", F.floor((n * selectors.bits_for(k) + 7) / 8) + k * 8)

@@ -42,8 +42,13 @@ def _entropy(n: Column, total: Column) -> Column:
 
 def entropy(s: DataFrame) -> DataFrame:
     """chunk_id, entropy: Shannon entropy of the values in bits; sum(n) and sum(n log n) give it in one aggregate."""
-    h = histogram(s).groupBy("chunk_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
-    return h.select("chunk_id", F.greatest(F.lit(0.0), F.log2("total") - F.col("nlogn") / F.col("total")).alias("entropy"))
+    return histogram(s).groupBy("chunk_id").agg(_entropy_of_counts().alias("entropy"))
+
+
+def _entropy_of_counts() -> Column:
+    """Of a histogram's n."""
+    total = F.sum("n")
+    return F.greatest(F.lit(0.0), F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total)
 
 
 def moments(s: DataFrame) -> DataFrame:
@@ -64,16 +69,26 @@ def _moments() -> list[Column]:
     ]
 
 
+def profile(s: DataFrame, width: int = 64) -> DataFrame:
+    """The eleven features with low and high (by unsigned order) and the entropy, by chunk.
+
+    Moments and range are one aggregate that moves a row for each chunk and task; cardinality and entropy come from
+    one histogram.  A distinct count beside the moments would move all of them with every value.
+    """
+    u = unsigned(F.col("v"), width)
+    out = s.groupBy("chunk_id").agg(*_moments(), F.min_by("v", u).alias("low"), F.max_by("v", u).alias("high")).withColumn("range_size", wrap_sub(F.col("high"), F.col("low")))
+    h = histogram(s).groupBy(F.col("chunk_id").alias("h_chunk")).agg(F.count("v").alias("cardinality"), _entropy_of_counts().alias("entropy"))
+    out = out.join(h, F.col("chunk_id").eqNullSafe(F.col("h_chunk")))
+    return out.select("chunk_id", "n", F.lit(width // 8).alias("width"), "cardinality", F.col("cardinality").alias("cardinality_low"), F.col("cardinality").alias("cardinality_high"), "range_size", "mean", "variance", "stddev", "skewness", "kurtosis", "low", "high", "entropy")
+
+
 def feature_vector(s: DataFrame, width: int = 64) -> DataFrame:
     """The eleven features of an integer stream, by chunk.
 
     n, width, cardinality (with its bounds, equal here because it is exact), range, mean, variance, stddev,
-    skewness and kurtosis; all from one aggregate.
+    skewness and kurtosis.
     """
-    u = unsigned(F.col("v"), width)
-    out = s.groupBy("chunk_id").agg(*_moments(), F.countDistinct("v").alias("cardinality"), F.min_by("v", u).alias("low"), F.max_by("v", u).alias("high"))
-    out = out.withColumn("range_size", wrap_sub(F.col("high"), F.col("low")))
-    return out.select("chunk_id", "n", F.lit(width // 8).alias("width"), "cardinality", F.col("cardinality").alias("cardinality_low"), F.col("cardinality").alias("cardinality_high"), "range_size", "mean", "variance", "stddev", "skewness", "kurtosis")
+    return profile(s, width).drop("low", "high", "entropy")
 
 
 def strides(s: DataFrame, furthest: int = 1024) -> DataFrame:

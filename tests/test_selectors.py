@@ -34,6 +34,19 @@ def test_features(spark):
     assert (r[1].variance, r[1].skewness, r[1].kurtosis) == (0, 0, 0) and r[2].skewness is None
 
 
+def test_a_profile_moves_only_values_and_counts(spark):
+    chunks = ints(4)
+    s = make(spark, chunks)
+    got = {r.chunk_id: r for r in st.profile(s).collect()}
+    assert {k: (r.n, r.cardinality, r.low & (1 << 64) - 1, r.high & (1 << 64) - 1) for k, r in got.items()} == {k: (len(v), len(set(v)), min(x & (1 << 64) - 1 for x in v), max(x & (1 << 64) - 1 for x in v)) for k, v in chunks.items()}
+    assert all(abs(r.entropy - h(chunks[k])) < 1e-9 for k, r in got.items())
+    for d in (st.profile(s), st.feature_vector(s), st.feature_vector(s.withColumn("v", F.when(F.col("pos") > 0, F.col("v"))))):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        by_value = [x for x in re.findall(r"HashAggregate\(keys=\[(.*?)\], functions=\[(.*?)\]\)", plan) if " v#" in x[0]]
+        assert by_value and all(not re.search("skewness|max_by", functions) for _, functions in by_value)
+    assert [tuple(r) for r in st.feature_vector(spark.createDataFrame([(0, 0, 3), (0, 1, None), (0, 2, 5)], "chunk_id long, pos long, v long")).select("n", "cardinality").collect()] == [(2, 2)]
+
+
 def test_ranges_and_cardinality(spark):
     chunks = ints(5)
     s = make(spark, chunks)
