@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.util import PythonEvalType
 from streams import STRING_EDGE, make, naturals, read
 
 from strandloom.core import CodecError
@@ -63,3 +64,11 @@ def test_clusters(spark):
             cl.ClusteringConfig(bad)
     with pytest.raises(CodecError):
         cl.ClusteringConfig([], [("long", "a"), ("long", "b")])
+
+
+@pytest.mark.parametrize("codec", [op.Zstd, op.Lz4])
+def test_compressors_work_in_arrow(spark, codec):
+    values = [b"", None, b"a" * 100_000, *(bytes([k % 7]) * k for k in range(300)), None]
+    c, s = codec(), make(spark, {0: values, 1: [None], 2: [b""]}, "binary")
+    assert read(c.decode(c.encode(s))) == {0: values, 1: [None], 2: [b""]}
+    assert op._over(c.pack).evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF  # a batch never becomes Python objects
