@@ -11,7 +11,9 @@ hits an item's sketch makes a candidate pair, and only these pairs are verified,
 
 How it runs: the shingles of all documents stream through one join with the sketches, broadcast if their bytes were
 summed and are few, else a shuffle join; only hits leave the scan.  The second scan reads candidate documents alone,
-and of their shingles only those that items have go on to meet the pairs.
+and of their shingles only those that items have go on to meet the pairs.  Two tables are written in between, the items
+and the pairs, which are read more than once; for each file a task starts processes that share its executor's memory
+for a moment, so what is read once is not written and the items are as few files as their rows need.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ SHINGLE = 5
 CONTAINED = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
+#: Rows of the items' shingles in a file, about.
+FILE_ROWS = 1 << 18
+
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
@@ -63,9 +68,10 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, cont
     of = of.withColumn("w", parts).withColumn("hash", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(SHINGLE)])).drop("w")
     upper = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("long") - 1
     k = upper - F.ceil(upper * F.lit(contained) - 1e-9) + 1
+    files = 1 + of.count() // FILE_ROWS
     shared = of.groupBy("hash").agg(F.count("*").alias("holders"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("holders", F.xxhash64("hash"), "shingle"))
-    of = s.write(of.withColumn("k", k).join(shared, "hash").withColumn("sketched", rank <= F.col("k")).select("item_id", "n_item", "shingle", "hash", "sketched"), "items")
+    of = s.write(of.withColumn("k", k).join(shared, "hash").withColumn("sketched", rank <= F.col("k")).select("item_id", "n_item", "shingle", "hash", "sketched").coalesce(files), "items")
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), _words(F.col("text")).alias("w"))
     sketch = of.where("sketched").select("hash", "item_id").distinct()
@@ -76,12 +82,10 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, cont
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     whole = whole.join(broadcast_if_small(key), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("content") == F.col("c_content")), "left_semi")
     shingles = whole.select("doc_id", "content", _words(F.col("text")).alias("w")).select("doc_id", "content", F.explode(_strings("w")).alias("shingle"))
-    known = s.write(of.select("shingle").distinct(), "shingles")
-    had = s.write(shingles.join(broadcast_if_small(known), "shingle", "left_semi").distinct(), "had")
+    had = shingles.join(broadcast_if_small(of.select("shingle").distinct()), "shingle", "left_semi").distinct()
     had = had.select(F.col("doc_id").alias("h_id"), F.col("content").alias("h_content"), F.col("shingle").alias("h_shingle"))
     asked = of.select(F.col("item_id").alias("i_id"), "n_item", "shingle")
-    wanted = s.write(pairs.join(broadcast_if_small(asked), F.col("item_id").eqNullSafe(F.col("i_id"))).drop("i_id"), "wanted")
-    s.keep_only("wanted", "had")
+    wanted = pairs.join(broadcast_if_small(asked), F.col("item_id").eqNullSafe(F.col("i_id"))).drop("i_id")
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("content") == F.col("h_content")) & (F.col("shingle") == F.col("h_shingle"))
     found = wanted.join(had, same).groupBy("doc_id", "content", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     found = found.where(F.col("n_shared") >= F.col("n_item") * F.lit(contained) - 1e-9).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))

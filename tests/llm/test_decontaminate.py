@@ -76,3 +76,29 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = op.contained_items(spark, docs(spark, HARD), spark.createDataFrame([], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_few_files_are_written(spark, monkeypatch):
+    rows, items = cases()
+    it = spark.createDataFrame(items, "item_id long, text string")
+    written, write = {}, common.Scratch.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        written[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", noted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert found(op.contained_items(spark, docs(spark, rows), it)) == brute(rows, items)
+        assert written.keys() == {"items", "pairs"} and written["items"] == 1  # a file costs its task several forks
+        written.clear()
+        monkeypatch.setattr(op, "FILE_ROWS", 50)  # many rows are many files
+        assert found(op.contained_items(spark, docs(spark, rows), it)) == brute(rows, items)
+        assert written["items"] > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
